@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,7 +101,7 @@ def small_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int) ->
     (one longer value makes a slice by itself)."""
     for b in batches:
         col = b.column(b.schema.get_field_index(column))
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
         start, acc = 0, 0
         for i, s in enumerate(sizes.tolist()):
             if acc and acc + s > limit:

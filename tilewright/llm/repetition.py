@@ -22,7 +22,7 @@ from tilewright.llm.common import WordHashes, covered, ship, text_bytes, window_
 
 @dataclass(frozen=True)
 class RepetitionRules:
-    """Limits on shares of a document's word characters.
+    """Limits on shares of a document's lines, word characters and words.
 
     ``top``: n -> share inside all occurrences of the most frequent n-gram.
     ``duplicated``: n -> share inside n-grams that occur twice or more.
@@ -31,11 +31,11 @@ class RepetitionRules:
     min_words: int = 50
     repeat_window: int = 3
     max_repeat_percent: int = 50
-    max_dup_line_share: float = 0.30
+    max_dup_line_share: float = 0.50
     max_dup_line_chars: float = 0.30
     top: tuple[tuple[int, float], ...] = ((2, 0.20), (3, 0.18), (4, 0.16))
     duplicated: tuple[tuple[int, float], ...] = ((5, 0.30), (6, 0.29), (7, 0.28), (8, 0.27), (9, 0.26), (10, 0.25))
-    max_symbol_share: float = 0.10
+    max_symbols_per_word: float = 0.10
 
 
 SCHEMA = (
@@ -116,7 +116,7 @@ def measure(data: bytes, rules: RepetitionRules, cache: WordHashes) -> tuple:
     kept = not base_failed and not (
         n_dup_lines > rules.max_dup_line_share * len(lines)
         or dup_line_chars > rules.max_dup_line_chars * word_chars
-        or n_symbols > rules.max_symbol_share * word_chars
+        or n_symbols > rules.max_symbols_per_word * n
         or any(top_chars[k] > m * word_chars for k, m in rules.top)
         or any(dup_chars[k] > m * word_chars for k, m in rules.duplicated)
     )

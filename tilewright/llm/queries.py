@@ -6,13 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import byte_bpe, langid, packing, repetition
+from tilewright.llm import byte_bpe, html_blocks, langid, media, packing, repetition, token_store
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return token_store.read_store(token_store.store_documents(_documents(spark, sf_dir), path, end_id=1, vocabulary=49408))
+
+
+def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     return byte_bpe.round_trip(byte_bpe.encoded(_documents(spark, sf_dir), ranks, pattern), ranks, pattern)
@@ -32,8 +41,12 @@ def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_quality(_documents(spark, sf_dir))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_byte_bpe, op6_language_id, op7_packing, op8_repetition)}
+    return {f.__name__: f for f in (op1_token_store, op3_html_blocks, op4_byte_bpe, op6_language_id, op7_packing, op8_repetition, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import byte_bpe, html_blocks, langid, media, packing, repetition, token_store
+from tilewright.llm import byte_bpe, html_blocks, langid, media, packing, repetition, setsketch, token_store
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +41,16 @@ def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_quality(_documents(spark, sf_dir))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(_documents(spark, sf_dir))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_documents(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_store, op3_html_blocks, op4_byte_bpe, op6_language_id, op7_packing, op8_repetition, op10_media)}
+    return {f.__name__: f for f in (op1_token_store, op3_html_blocks, op4_byte_bpe, op6_language_id, op7_packing, op8_repetition, op9_near_duplicates, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import byte_bpe, html_blocks, langid, media, packing, repetition, setsketch, token_store
+from tilewright.llm import byte_bpe, html_blocks, langid, media, packing, repetition, setsketch, substring, token_store
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(byte_bpe.encoded(_documents(spark, sf_dir), ranks, pattern), ranks, pattern)
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(_documents(spark, sf_dir))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", langid.fold() == 2)
     profiles = langid.train(docs.filter(~F.col("held_out")))
@@ -50,7 +54,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_store, op3_html_blocks, op4_byte_bpe, op6_language_id, op7_packing, op8_repetition, op9_near_duplicates, op10_media)}
+    return {f.__name__: f for f in (op1_token_store, op3_html_blocks, op4_byte_bpe, op5_substring, op6_language_id, op7_packing, op8_repetition, op9_near_duplicates, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:

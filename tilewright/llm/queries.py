@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import byte_bpe, html_blocks, langid, media, packing, repetition, setsketch, substring, token_store
+from tilewright.llm import byte_bpe, html_blocks, kneser_ney, langid, media, packing, repetition, setsketch, substring, token_store
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(token_store.store_documents(_documents(spark, sf_dir), path, end_id=1, vocabulary=49408))
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -54,7 +58,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_store, op3_html_blocks, op4_byte_bpe, op5_substring, op6_language_id, op7_packing, op8_repetition, op9_near_duplicates, op10_media)}
+    return {f.__name__: f for f in (op1_token_store, op2_kneser_ney, op3_html_blocks, op4_byte_bpe, op5_substring, op6_language_id, op7_packing, op8_repetition, op9_near_duplicates, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:

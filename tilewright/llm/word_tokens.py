@@ -8,12 +8,20 @@ encoded whole by the library.
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
 from tokenizers import Tokenizer
 
-from tilewright.llm.common import CACHE_ENTRIES
+# A worker has one core; the library's own threads would only spin.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+#: Words of a worker's cache (about 200 bytes each); it is emptied beyond that.
+CACHE_WORDS = 800_000
+#: Words that go to the library as one text.
+WORDS_AT_ONCE = 2000
+#: Stands between them: a pre-token of its own that merges with nothing.
+MARK = "\0"
 
 _two_spaces = re.compile(r"\s\s")
 
@@ -29,14 +37,36 @@ class WordTokenizer:
         self.keep_space, self.dtype = keep_space, np.dtype(dtype)
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {} if keep_space else self.first
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        tied = [t for t, i in self.tokenizer.get_vocab().items() if "\u0100" in t and t not in ("\u0100", "\u0100</w>")]
+        self.mark = mark[0] if len(mark) == 1 and not tied else None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str], lead: str) -> list[bytes]:
+        """The ids of each word, encoded as one text with marks between."""
+        if self.mark is None or any(MARK in w for w in words):
+            return self._whole([lead + w for w in words])
+        between = MARK if self.keep_space else f" {MARK} "
+        texts = [between.join([lead + w for w in words[i : i + WORDS_AT_ONCE]]) for i in range(0, len(words), WORDS_AT_ONCE)]
+        out: list[bytes] = []
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(e.ids, self.dtype)
+            raw, size = ids.tobytes(), self.dtype.itemsize
+            ends = (np.append(np.flatnonzero(ids == self.mark), len(ids)) * size).tolist()
+            at = 0
+            for end in ends:
+                out.append(raw[at:end])
+                at = end + size
+        if len(out) != len(words):
+            raise ValueError("a word holds the mark")
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``dtype``."""
         parts: list[list[str] | None] = []
-        if len(self.first) + len(self.later) > CACHE_ENTRIES:
+        if max(len(self.first), len(self.later)) > CACHE_WORDS:
             self.first.clear()
             self.later.clear()
         heads, tails = set(), set()
@@ -55,7 +85,7 @@ class WordTokenizer:
             new = [w for w in words if w not in cache]
             for i in range(0, len(new), 50_000):
                 some = new[i : i + 50_000]
-                cache.update(zip(some, self._whole([lead + w for w in some])))
+                cache.update(zip(some, self._words(some, lead)))
         out = []
         for t, p in zip(texts, parts):
             if p is None:

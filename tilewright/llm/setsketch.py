@@ -8,19 +8,18 @@ registers are as likely as the sets are alike.
 
 1. Rows with equal sets form a class; its least doc_id stands for it.
 2. Bands of registers are bucket keys.  In each bucket of two or more classes,
-   every class is first compared with the bucket's least one; of these pairs
-   the most promising of each class are verified.  Components of the verified
-   links are then contracted.
-3. All pairs of a bucket whose classes are still in different components are
-   compared by bits of their registers inside the join, so that only likely
-   links leave it, and these are verified too.  Together, no pair that shares
-   a bucket is left out: it is either connected or was compared.
-4. A pair is verified by the joint likelihood of the two sketches, then by the
-   whole sets.
+   every class is paired with the one that shares most buckets with others.
+   The pairs that met in most buckets are verified by the joint likelihood of
+   their sketches, then by the whole sets, and the components of the links are
+   found.
+3. Pairs of a bucket whose classes are still in different components are
+   compared inside the join, by short digests of their registers and then by
+   the whole sets, so that nothing but links leaves it.  Together, no pair that
+   shares a bucket is left out: it is either connected or was compared.
 
 With 48 bands of 5 registers a pair of similarity 0.75 shares no bucket with
-probability 2.3e-6, one of 0.8 with 5e-9.  The filters on bits and likelihood
-reject a link of 0.75 only beyond eight standard deviations.
+probability 2.3e-6, one of 0.8 with 5e-9.  The filters by digests and likelihood
+reject a link of 0.75 only beyond five standard deviations (3e-7).
 
 A text without words, a null text and a row without doc_id are linked with
 nothing.  Rows that repeat a doc_id are told apart by their sets.  Other
@@ -35,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import WordHashes, drop_path, free_shuffles, mixed, saved, scratch, ship, text_bytes, window_hashes
@@ -44,8 +43,10 @@ from tilewright.llm.components import components
 BANDS, ROWS = 48, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
-BIT_WORDS = 4
-SIGMAS = 8
+#: Bits of a register's digest; 16 of them make a 64-bit word.
+DIGEST_BITS = 4
+WORDS = -(-REGISTERS * DIGEST_BITS // 64)
+SIGMAS = 5
 STAR_LINKS = 3
 
 
@@ -76,10 +77,11 @@ def registers(elements: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(h) / math.log(BASE)), 0, LIMIT + 1).astype("<u2")
 
 
-def bits(sketch: np.ndarray) -> np.ndarray:
-    """One pseudo-random bit of each register, packed to ``BIT_WORDS`` integers."""
-    b = (mixed(sketch.astype(np.uint64) * np.uint64(2 * REGISTERS) + np.arange(len(sketch), dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(np.pad(b, (0, 64 * BIT_WORDS - len(b)))).view("<i8")
+def digests(sketch: np.ndarray) -> np.ndarray:
+    """``DIGEST_BITS`` pseudo-random bits of each register, packed into 64-bit words."""
+    d = mixed(sketch.astype(np.uint64) * np.uint64(2 * REGISTERS) + np.arange(len(sketch), dtype=np.uint64)) & np.uint64((1 << DIGEST_BITS) - 1)
+    d = np.pad(d, (0, 64 // DIGEST_BITS * WORDS - len(d))).reshape(WORDS, -1)
+    return np.bitwise_or.reduce(d << np.arange(0, 64, DIGEST_BITS, dtype=np.uint64), axis=1).view(np.int64)
 
 
 def likeliest(k_u: np.ndarray, k_v: np.ndarray, n_u: np.ndarray, n_v: np.ndarray) -> np.ndarray:
@@ -107,7 +109,7 @@ def likeliest(k_u: np.ndarray, k_v: np.ndarray, n_u: np.ndarray, n_v: np.ndarray
     return (low + high) / 2
 
 
-def _slack(similarity: float, n: int, share: float) -> float:
+def _slack(share: float, n: int) -> float:
     return SIGMAS * math.sqrt(share * (1 - share) / n)
 
 
@@ -130,19 +132,26 @@ def sketched(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
     return src.mapInArrow(run, "doc_id long, n long, fp binary, sketch binary")
 
 
-def _with_bits(classes: DataFrame) -> DataFrame:
+def _with_digests(classes: DataFrame) -> DataFrame:
+    names = [f"w{i}" for i in range(WORDS)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w = np.array([bits(np.frombuffer(x.as_py(), "<u2")) for x in b.column(2)], np.int64).reshape(-1, BIT_WORDS)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(w[:, i].copy()) for i in range(BIT_WORDS))], names=["rep", "n", "w0", "w1", "w2", "w3"])
+            w = np.array([digests(np.frombuffer(x.as_py(), "<u2")) for x in b.column(2)], np.int64).reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(w[:, i].copy()) for i in range(WORDS))], names=["rep", "n", *names])
 
-    return classes.select("rep", "n", "sketch").mapInArrow(run, "rep long, n long, w0 long, w1 long, w2 long, w3 long")
+    return classes.select("rep", "n", "sketch").mapInArrow(run, "rep long, n long, " + ", ".join(f"{x} long" for x in names))
 
 
-def _agreeing(a: str = "", b: str = ""):
-    """Number of equal bits of two rows' bit words."""
-    differ = sum((F.bit_count(F.col(f"{a}w{i}").bitwiseXOR(F.col(f"{b}w{i}"))) for i in range(BIT_WORDS)), F.lit(0))
-    return F.lit(REGISTERS) - differ
+def _agreeing() -> Column:
+    """Number of registers of x and y whose digests are equal."""
+    lowest = sum(1 << k for k in range(0, 60, DIGEST_BITS))  # the top digest apart: its bit is the sign
+    unequal = F.lit(0)
+    for i in range(WORDS):
+        v = F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))
+        any_ = v.bitwiseOR(F.shiftrightunsigned(v, 1)).bitwiseOR(F.shiftrightunsigned(v, 2)).bitwiseOR(F.shiftrightunsigned(v, 3))
+        unequal = unequal + F.bit_count(any_.bitwiseAND(F.lit(lowest))) + F.when(F.shiftrightunsigned(v, 60) != 0, 1).otherwise(0)
+    return F.lit(REGISTERS) - unequal
 
 
 def near_duplicates(docs: DataFrame, similarity: int = 75, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,8 +161,9 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, shingle: int = 5, id_
     ship(spark)
     share = similarity / 100
     factors = multipliers()
-    agree_at_least = math.floor(REGISTERS * ((1 + share) / 2 - _slack(share, REGISTERS, (1 + share) / 2)))
-    likely_at_least = share - _slack(share, REGISTERS, share)
+    equal = share + (1 - share) / (1 << DIGEST_BITS)  # chance that two registers' digests are equal
+    agree_at_least = math.floor(REGISTERS * (equal - _slack(equal, REGISTERS)))
+    likely_at_least = share - _slack(share, REGISTERS)
     paths = {k: scratch(spark, f"near-{k}") for k in ("rows", "classes", "members", "sets", "links")}
 
     rows = saved(sketched(docs, shingle, id_col, text_col), paths["rows"])
@@ -163,7 +173,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, shingle: int = 5, id_
 
     band = F.explode(F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS))))
     banded = classes.select(band.alias("key"), "rep")
-    buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("lead")).filter("size > 1").select("key", "lead")
+    buckets = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     members = saved(banded.join(buckets, "key"), paths["members"])
 
     ids = members.select("rep").distinct()
@@ -171,21 +181,20 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, shingle: int = 5, id_
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for b in batches:
-            s = [shingle_set(x.as_py(), shingle, cache) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in s], pa.binary())], names=["rep", "elements"])
+            s = [shingle_set(x.as_py(), shingle, cache).view(np.int64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.list_(pa.int64()))], names=["rep", "elements"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), text_bytes(docs, text_col).alias("b")).join(ids, "rep", "left_semi")
-    whole = saved(texts.mapInArrow(sets, "rep long, elements binary"), paths["sets"])
+    whole = saved(texts.mapInArrow(sets, "rep long, elements array<long>"), paths["sets"])
     free_shuffles(spark)
-    words = _with_bits(classes.join(ids, "rep", "left_semi"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if not b.num_rows:
                     continue
-                x = [np.frombuffer(v.as_buffer(), "<u8") for v in b.column(2)]
-                y = [np.frombuffer(v.as_buffer(), "<u8") for v in b.column(3)]
+                x = [v.values.to_numpy().view(np.uint64) for v in b.column(2)]
+                y = [v.values.to_numpy().view(np.uint64) for v in b.column(3)]
                 k_x, k_y = (np.array([registers(s, factors) for s in z]) for z in (x, y))
                 n_x, n_y = (np.array([len(s) for s in z], np.float64) for z in (x, y))
                 likely = likeliest(k_x, k_y, n_x, n_y) >= likely_at_least
@@ -200,34 +209,37 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, shingle: int = 5, id_
         with_b = with_a.join(whole.select(F.col("rep").alias("b"), F.col("elements").alias("y")), "b")
         return with_b.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
-    # Stars: each class with the least one of its buckets.
-    star = members.filter("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    wa = words.select(F.col("rep").alias("a"), F.col("n").alias("an"), *(F.col(f"w{i}").alias(f"aw{i}") for i in range(BIT_WORDS)))
-    wb = words.select(F.col("rep").alias("b"), F.col("n").alias("bn"), *(F.col(f"w{i}").alias(f"bw{i}") for i in range(BIT_WORDS)))
-    sizes_fit = (F.least("an", "bn") * 100 >= F.greatest("an", "bn") * similarity) & (F.col("agree") >= agree_at_least)
-    star = star.join(wa, "a").join(wb, "b").withColumn("agree", _agreeing("a", "b")).filter(sizes_fit)
-    best = Window.partitionBy("b").orderBy(F.desc("agree"), "a")
+    # Stars: each class with the class of its buckets that meets most others.
+    met = members.groupBy("rep").agg(F.sum("size").alias("met"))
+    lead = members.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("minus"))).alias("top"))
+    star = members.join(lead, "key").select((-F.col("top.minus")).alias("a"), F.col("rep").alias("b")).filter("a != b")
+    star = star.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
     star = star.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= STAR_LINKS).select("a", "b")
     links = saved(verified(star), paths["links"])
     joined = components(links)
 
     # The rest: pairs of a bucket that are still apart.
     apart = members.select("key", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed_keys = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
-    apart = apart.join(mixed_keys, "key", "left_semi").join(words, "rep")
+    unlike = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
+    apart = apart.join(unlike, "key", "left_semi")
+    asked = apart.select("rep").distinct()
+    known = _with_digests(classes.join(asked, "rep", "left_semi")).join(whole, "rep")
+    apart = apart.join(known, "rep")
     x, y = apart.alias("x"), apart.alias("y")
+    both = F.size(F.array_intersect("x.elements", "y.elements"))
     near = (
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.rep") < F.col("y.rep"))
         & (F.col("x.component") != F.col("y.component"))
         & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * similarity)
-        & (_agreeing("x.", "y.") >= agree_at_least)
+        & (_agreeing() >= agree_at_least)
+        & (both * 100 >= (F.col("x.n") + F.col("y.n") - both) * similarity)
     )
-    rest = x.join(y, near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = verified(rest)
+    more = x.join(y, near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     # A component found so far takes part as one link from each of its nodes to its least node.
-    known = joined.filter("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    final = components(known.unionByName(more))
+    so_far = joined.filter("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    final = components(so_far.unionByName(more))
 
     out = rows.select("doc_id", "n", "fp").join(classes.select("fp", "rep"), "fp", "left")
     out = out.join(final.withColumnRenamed("node", "rep"), "rep", "left")

@@ -24,6 +24,8 @@ CACHE_ENTRIES = 400_000
 #: Multiplier of the polynomial window hashes (odd, 64 bits).
 WINDOW_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_dir: str | None = None
 
 
@@ -53,9 +55,15 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def saved(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts
-    lineage, so a lost executor costs no more than the tasks it was running."""
+    lineage, so a lost executor costs no more than the tasks it was running.
+    The step's shuffle files go when it is done; nothing reads them again."""
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import kernels as K
 from tilewright.functions.text import trimmed
 from tilewright.operators.spatial import tiles_of
+from tilewright.shipping import ship
 
 #: Road classes with their first zoom and the tags that name them.
 ROADS = {
@@ -135,6 +136,7 @@ def last_wins_rows(ways: DataFrame) -> DataFrame:
 def postal_features(relations: DataFrame, ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """Areas of postal-code relations: member ways joined to rings, ``inner``
     ones as holes; each relation is assembled by one task."""
+    ship(ways.sparkSession)
     code = trimmed(F.coalesce(F.nullif(F.col("tags")["postal_code"], F.lit("")), F.col("tags")["ref"], F.lit("")))
     own = last_wins(relations).withColumn("code", code).filter((F.col("tags")["boundary"] == "postal_code") & (F.col("code") != ""))
     member = own.select(F.col("id").alias("rel"), "code", F.col("tags")["name"].alias("name"), F.posexplode("members").alias("pos", "m")).filter("m.type = 1")
@@ -200,6 +202,7 @@ def encode(fanned: DataFrame, tolerance: float = 4.0, gzip: bool = True) -> Data
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["z", "x", "y", "data"])
 
+    ship(fanned.sparkSession)
     # A map cannot be sorted or compared, so properties travel as entries.
     listed = fanned.withColumn("props_list", F.array_sort(F.map_entries("props"))).drop("props")
     by = listed.groupBy("z", "x", "y").agg(F.array_sort(F.collect_list(F.struct("ord", "layer", "kind", "props_list", "rings", "multi"))).alias("f"))

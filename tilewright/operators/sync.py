@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators.spatial import overlapping_pairs
 from tilewright.operators.tileset import expand_ranges
+from tilewright.shipping import ship
 
 KEY = ["z", "x", "y"]
 #: Limits of a manifest's fields.
@@ -61,6 +62,7 @@ def download(planned: DataFrame, fetch: Callable[[int, int, int], bytes], datase
             p["data"] = [fetch(int(z), int(x), int(y)) for z, x, y in zip(p["z"], p["x"], p["y"])]
             yield p
 
+    ship(planned.sparkSession)
     got = planned.filter("action = 'download'").select(*KEY).mapInPandas(run, "z int, x long, y long, data binary")
     return got.select(F.lit(dataset).alias("dataset"), F.lit(revision).alias("revision"), *KEY, "data", F.sha2("data", 256).alias("checksum"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import geometry as G
 from tilewright.functions import kernels as K
 from tilewright.functions.text import key_of, list_cell, number, prefix, trimmed
+from tilewright.shipping import ship
 
 POINT = "struct<lon:double,lat:double>"
 MULTIPOLYGON = f"array<array<array<{POINT}>>>"
@@ -143,6 +144,7 @@ def dissolved(members: DataFrame, simplify_metres: float = 0.0) -> DataFrame:
         shape = [[[{"lon": x, "lat": y} for x, y in ring] for ring in polygon] for polygon in found]
         return pd.DataFrame({"group": [key[0]], "geometry": [shape]})
 
+    ship(members.sparkSession)
     e = dissolve_edges(members)
     rank = F.format_string("%019d %06d %06d %09d", *(F.col(f"place.{c}").cast("long") for c in ("ord", "part", "ring", "i")))
     e = e.select("group", "ax", "ay", "bx", "by", rank.alias("place"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import tiles as T
+from tilewright.shipping import ship
 
 #: Fixed values of the import batch rules.
 DEFAULT_BATCH, MOST_BATCH = 1000, 8192
@@ -98,6 +99,7 @@ def tile_digest(tiles: DataFrame) -> DataFrame:
                 n += 1
         yield pa.RecordBatch.from_pydict({"n_tiles": [n], "sha256": [h.hexdigest()]})
 
+    ship(tiles.sparkSession)
     head = F.concat(T.be64(F.col("z")), T.be64(F.col("x")), T.be64(F.col("y")), T.be64(F.octet_length("data")))
     return tiles.orderBy("z", "x", "y").select(head.alias("head"), "data").coalesce(1).mapInArrow(run, "n_tiles long, sha256 string")
 

@@ -2,6 +2,8 @@
 
 from pyspark.sql import SparkSession
 
+from tilewright.shipping import ship
+
 
 def register(spark: SparkSession) -> None:
     """Make the formats osmpbf, mbtiles, pmtiles and tilestream known."""
@@ -10,5 +12,6 @@ def register(spark: SparkSession) -> None:
     from tilewright.sources.pmtiles import PMTilesSource
     from tilewright.sources.tilestream import TileStreamSource
 
+    ship(spark)
     for source in (OsmPbfSource, MBTilesSource, PMTilesSource, TileStreamSource):
         spark.dataSource.register(source)

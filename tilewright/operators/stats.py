@@ -44,6 +44,18 @@ def stratified_sample(tiles: DataFrame, quotas: DataFrame, seed: Column) -> Data
     return ranked.join(quotas, "z").filter("r <= quota").select("z", "x", "y")
 
 
+def corpus_order(keys: DataFrame, seed: Column) -> DataFrame:
+    """Keys (z, x, y) with their rank in a seeded pseudo-random order; a key that
+    occurs twice is an error."""
+    from tilewright.operators.tileset import numbered
+
+    n = keys.groupBy("z", "x", "y").agg(F.count("*").alias("n"))
+    one = F.when(F.col("n") == 1, F.col("z")).otherwise(F.raise_error(F.lit("a key occurs twice")).cast("int"))
+    h = F.md5(F.concat_ws(":", seed, F.col("z"), F.col("x"), F.col("y")).cast("binary"))
+    hashed = n.select(one.alias("z"), "x", "y", F.struct(h.alias("h"), F.col("x"), F.col("y")).alias("at"))
+    return numbered(hashed, "at", "rank").select("z", "x", "y", "rank")
+
+
 def gate(measured: DataFrame, key: str, ours: str, theirs: str, ratio: float) -> DataFrame:
     """passed: ours is at most ``ratio`` times theirs."""
     return measured.withColumn("passed", F.col(ours) <= F.col(theirs) * ratio).select(key, ours, theirs, "passed")

@@ -165,6 +165,40 @@ def to_csv_columns(territories: DataFrame) -> DataFrame:
     return territories.select("territory_id", F.col("territory_id").alias("territory_name"), *cells)
 
 
+#: Aggregations that suit a report: no list of source keys, simplified outlines.
+REPORT_SIMPLIFY_METRES = 50.0
+
+
+def for_report(territories: DataFrame) -> DataFrame:
+    """Without the list of source keys, which report tools cannot show."""
+    return territories.drop("source_values")
+
+
+def parse_aggregations(spec: str) -> dict[str, str]:
+    """``field=strategy`` pairs between commas; an unknown strategy is an error."""
+    out = {}
+    for part in filter(None, (p.strip() for p in spec.split(","))):
+        name, _, how = (x.strip() for x in part.partition("="))
+        if not name or how not in STRATEGIES:
+            raise ValueError(f"{part!r} is no aggregation")
+        out[name] = how
+    return out
+
+
+def parse_group(rule: str, has_mapping: bool) -> tuple[str, int | str]:
+    """``prefix:N`` without a mapping, a column with one: (kind, value)."""
+    kind, _, value = rule.strip().partition(":")
+    if kind == "prefix":
+        if has_mapping:
+            raise ValueError("a prefix and a mapping exclude each other")
+        if not value.isdigit() or int(value) < 1:
+            raise ValueError("a prefix needs a positive length")
+        return "prefix", int(value)
+    if not has_mapping or not rule.strip():
+        raise ValueError("grouping needs prefix:N, or a mapping and its column")
+    return "mapping", rule.strip()
+
+
 def overlap_warnings(members: DataFrame, cell: float = 1.0) -> DataFrame:
     """``a and b`` for members whose boxes overlap in more than an edge."""
     from tilewright.operators.spatial import bounds_columns, overlapping_pairs

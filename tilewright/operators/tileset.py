@@ -158,6 +158,11 @@ def stream_stats(tiles: DataFrame) -> DataFrame:
     return tiles.agg(F.count("*").alias("tiles"), F.coalesce(F.sum(n), F.lit(0)).alias("bytes"), F.coalesce(F.max(n), F.lit(0)).alias("largest"))
 
 
+def sampled_largest(tiles: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The largest payload of the first rows in key order: a bounded sample."""
+    return tiles.orderBy("z", "x", "y").limit(rows).agg(F.coalesce(F.max(F.octet_length("data").cast("long")), F.lit(0)).alias("largest"))
+
+
 def auto_batch(largest: Column, memory: Column) -> Column:
     """Rows of an import batch for the largest sampled payload and a memory budget."""
     per_tile = F.greatest(largest * HEADROOM, F.lit(LEAST_TILE)) + ROW_OVERHEAD

@@ -290,6 +290,18 @@ def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
     return stats.stratified_sample(t, quotas, F.lit("29093"))
 
 
+@query("SELECT CAST(c_nationkey AS INTEGER) AS z, c_custkey AS x, c_custkey % 17 AS y, row_number() OVER (ORDER BY md5('7:' || c_nationkey || ':' || c_custkey || ':' || c_custkey % 17)) - 1 AS rank FROM customer")
+def corpus_order(spark: SparkSession, sf: str) -> DataFrame:
+    t = I.table(spark, sf, "customer").select(C("c_nationkey").cast("int").alias("z"), C("c_custkey").alias("x"), (C("c_custkey") % 17).alias("y"))
+    return stats.corpus_order(t, F.lit("7"))
+
+
+@query()
+def route_sync_request(spark: SparkSession, sf: str) -> DataFrame:
+    """Tiles of all corridors at zoom 6, each once."""
+    return routes.sync_request(_route_points(spark, sf), 6, radius=1)
+
+
 @query("SELECT event_type, count(*) FILTER (event_id % 3 <> 0) AS hits, count(*) FILTER (event_id % 3 = 0) AS misses, count(*) FILTER (event_id % 3 <> 0) / count(*) AS ratio FROM events GROUP BY 1")
 def cache_hit_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return stats.hit_ratio(I.table(spark, sf, "events"), ["event_type"], C("event_id") % 3 != 0)

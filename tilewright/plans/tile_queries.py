@@ -237,6 +237,17 @@ def batch_size_auto(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("id", "memory", tileset.auto_batch(big, C("memory")).alias("batch"), tileset.stream_batch(F.lit(0), big, C("memory")).alias("stream_batch"), tileset.stream_batch(F.lit(500), big, C("memory")).alias("lowered"))
 
 
+@query(f"WITH {I.TILES} SELECT CAST(max(octet_length(data)) AS BIGINT) AS largest FROM (SELECT * FROM tiles ORDER BY z, x, y LIMIT 300)")
+def sampled_largest(spark: SparkSession, sf: str) -> DataFrame:
+    return tileset.sampled_largest(I.tiles(spark, sf), 300)
+
+
+@query()
+def tree_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """Digest of the tile set by blocks, the parallel form."""
+    return tileset.tree_digest(I.tiles(spark, sf))
+
+
 @query(f"WITH {I.TILES} SELECT count(*) AS tiles, CAST(sum(octet_length(data)) AS BIGINT) AS bytes, CAST(max(octet_length(data)) AS BIGINT) AS largest FROM tiles")
 def stream_stats(spark: SparkSession, sf: str) -> DataFrame:
     return tileset.stream_stats(I.tiles(spark, sf))

@@ -13,5 +13,6 @@ def register(spark: SparkSession) -> None:
     from tilewright.sources.tilestream import TileStreamSource
 
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (OsmPbfSource, MBTilesSource, PMTilesSource, TileStreamSource):
         spark.dataSource.register(source)

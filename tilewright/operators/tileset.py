@@ -24,21 +24,28 @@ SAMPLE_ROWS, HEADROOM, LEAST_TILE = 1024, 8, 16 << 10
 FIXED_MEMORY, ROW_OVERHEAD = 2 << 20, 768
 
 
+#: What tells payloads apart: two hashes and the length, 48 bytes, so that payloads need not be compared or moved.
+SIGNATURE = ["sha", "hash", "size"]
+
+
+def _signed(tiles: DataFrame) -> DataFrame:
+    return tiles.select("*", F.unhex(F.sha2("data", 256)).alias("sha"), F.xxhash64("data").alias("hash"), F.octet_length("data").cast("long").alias("size"))
+
+
 def content_ids(tiles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(images, map): payloads numbered in base 36 by first place (z, x, y), and
     tiles with their payload's id.
 
-    Payloads are grouped by hash and bytes, so that equal hashes of different
-    bytes stay apart.  Numbers come from a distributed sort: each range
-    partition counts its payloads and starts after those before it, so no task
-    sees all payloads.
+    Payloads are told apart by signature; a payload itself is shuffled once for
+    each task that holds it, and only for ``images``.  Numbers come from a
+    distributed sort: each range partition counts its payloads and starts after
+    those before it, so no task sees all payloads.
     """
-    hashed = tiles.withColumn("sha", F.sha2("data", 256))
-    first = hashed.groupBy("sha", "data").agg(F.min(F.struct("z", "x", "y")).alias("at"))
-    images = numbered(first, "at").withColumn("tile_id", F.lower(F.conv(F.col("n").cast("string"), 10, 36)))
-    images = images.select("tile_id", "sha", "data")
-    keyed = hashed.join(images, ["sha", "data"]).select("z", "x", "y", "tile_id")
-    return images.select("tile_id", "data"), keyed
+    signed = _signed(tiles)
+    first = signed.groupBy(*SIGNATURE).agg(F.min(F.struct("z", "x", "y")).alias("at"))
+    ids = numbered(first, "at").select(*SIGNATURE, F.lower(F.conv(F.col("n").cast("string"), 10, 36)).alias("tile_id"))
+    images = signed.groupBy(*SIGNATURE).agg(F.first("data").alias("data")).join(ids, SIGNATURE).select("tile_id", "data")
+    return images, signed.select("z", "x", "y", *SIGNATURE).join(ids, SIGNATURE).select("z", "x", "y", "tile_id")
 
 
 def numbered(df: DataFrame, order: str, name: str = "n") -> DataFrame:
@@ -54,7 +61,7 @@ def numbered(df: DataFrame, order: str, name: str = "n") -> DataFrame:
 
 def dedup_stats(tiles: DataFrame) -> DataFrame:
     """tiles, unique_tiles, reused_tiles, payload_bytes, unique_bytes, duplicate_bytes."""
-    by = tiles.groupBy(F.sha2("data", 256), "data").agg(F.count("*").alias("n")).select("n", F.octet_length("data").cast("long").alias("size"))
+    by = _signed(tiles).groupBy(*SIGNATURE).agg(F.count("*").alias("n"))
     return by.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("tiles"),
         F.count("*").alias("unique_tiles"),

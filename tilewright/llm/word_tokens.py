@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 # A worker has one core; the library's own threads would only spin.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Words of a worker's cache (about 200 bytes each); it is emptied beyond that.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_200_000
 #: Words that go to the library as one text.
 WORDS_AT_ONCE = 2000
 #: Stands between them: a pre-token of its own that merges with nothing.
@@ -37,6 +37,7 @@ class WordTokenizer:
         self.keep_space, self.dtype = keep_space, np.dtype(dtype)
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {} if keep_space else self.first
+        self.endings = dict(zip(",.;:!?", self._whole(list(",.;:!?"))))
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         tied = [t for t, i in self.tokenizer.get_vocab().items() if "\u0100" in t and t not in ("\u0100", "\u0100</w>")]
         self.mark = mark[0] if len(mark) == 1 and not tied else None
@@ -63,6 +64,23 @@ class WordTokenizer:
             raise ValueError("a word holds the mark")
         return out
 
+    def _learn(self, cache: dict[str, bytes], words: list[str], lead: str) -> None:
+        """Add words to a cache.  Letters and one mark after them are always two
+        pre-tokens, so such a word is its letters' ids and the mark's; where the
+        tokenizer drops case, plain letters are looked up in lower case."""
+        stems: dict[str, str] = {}
+        for w in words:
+            stem = w[:-1] if w[-1:] in self.endings and w[:-1].isalpha() and w[:-1].lower().isalpha() else w
+            stems[w] = stem.lower() if not self.keep_space and stem.isascii() and stem.isalpha() else stem
+        new = [x for x in dict.fromkeys(stems.values()) if x not in cache]
+        for i in range(0, len(new), 50_000):
+            some = new[i : i + 50_000]
+            cache.update(zip(some, self._words(some, lead)))
+        for w, stem in stems.items():
+            if w is not stem and w not in cache:
+                end = w[-1:]
+                cache[w] = cache[stem] + (self.endings[end] if end in self.endings and len(w) > len(stem) else b"")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``dtype``."""
         parts: list[list[str] | None] = []
@@ -82,10 +100,7 @@ class WordTokenizer:
                 tails.update(p[1:])
             parts.append(p)
         for cache, words, lead in ((self.first, heads, ""), (self.later, tails, " " if self.keep_space else "")):
-            new = [w for w in words if w not in cache]
-            for i in range(0, len(new), 50_000):
-                some = new[i : i + 50_000]
-                cache.update(zip(some, self._words(some, lead)))
+            self._learn(cache, [w for w in words if w not in cache], lead)
         out = []
         for t, p in zip(texts, parts):
             if p is None:

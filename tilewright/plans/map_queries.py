@@ -216,6 +216,14 @@ def sync_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return sync.request_conflicts(keys, ranges)
 
 
+@query(f"WITH {_conf} SELECT z, x, y FROM k UNION ALL SELECT z, x, unnest(range(y_min, y_max + 1)) FROM (SELECT *, unnest(range(x_min, x_max + 1)) AS x FROM r)")
+def sync_requested(spark: SparkSession, sf: str) -> DataFrame:
+    k, n = C("c_custkey"), C("n_nationkey").cast("long")
+    keys = I.table(spark, sf, "customer").filter("c_custkey <= 70").select(F.lit(6).alias("z"), (k % 60).alias("x"), (k % 7).alias("y"))
+    ranges = I.table(spark, sf, "nation").select(F.lit(6).alias("z"), (n * 3).alias("x_min"), (n * 3 + n % 4).alias("x_max"), F.expr("2L").alias("y_min"), (2 + n % 3).alias("y_max"))
+    return sync.requested(keys, ranges)
+
+
 @query("""WITH m AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 2 ELSE 1 END AS v, CASE WHEN o_orderkey % 5 = 0 THEN ' berlin' WHEN o_orderkey % 11 = 0 THEN repeat('d', 257) ELSE 'berlin' END AS d, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE 'r' || o_orderkey END AS r,
  CASE WHEN o_orderkey % 17 = 0 THEN 'XYZ' ELSE 'TMS' END AS c, CASE WHEN o_orderkey % 3 = 0 THEN '/{z}/{x}.mvt' ELSE '/{z}/{x}/{y}.mvt' END AS t FROM orders)
 SELECT id, CASE WHEN v <> 1 THEN 'format version' WHEN d <> trim(d) OR length(d) > 256 THEN 'dataset' WHEN r = '' THEN 'revision' WHEN c <> 'TMS' THEN 'coordinate system' WHEN NOT contains(t, '{y}') THEN 'template' END AS problem,

@@ -224,6 +224,31 @@ def ring_signature(spark: SparkSession, sf: str) -> DataFrame:
     return _rings(spark, sf).select("id", G.ring_signature(C("ring")).alias("signature"))
 
 
+_nest_sql = """ext AS (SELECT c_custkey AS exterior_id, CAST((c_custkey * 7) % 60 AS DOUBLE) AS x, CAST((c_custkey // 3) % 60 AS DOUBLE) AS y, CAST(2 + c_custkey % 9 AS DOUBLE) AS w FROM customer WHERE c_custkey % 5 <> 0),
+hol AS (SELECT c_custkey AS hole_id, (c_custkey * 11) % 60 + 0.25::DOUBLE AS x, (c_custkey // 7) % 60 + 0.25::DOUBLE AS y FROM customer WHERE c_custkey % 5 = 0)"""
+
+
+@query(f"WITH {_nest_sql} SELECT hole_id, arg_min(exterior_id, {{'s': w, 'i': exterior_id}}) AS exterior_id FROM hol h JOIN ext e ON h.x >= e.x AND h.x < e.x + w AND h.y >= e.y AND h.y < e.y + w GROUP BY 1")
+def hole_nesting(spark: SparkSession, sf: str) -> DataFrame:
+    k = C("c_custkey")
+    c = I.table(spark, sf, "customer")
+
+    def ring(x, y, w):
+        at = lambda dx, dy: F.struct((x + dx).cast("double").alias("lon"), (y + dy).cast("double").alias("lat"))
+        return F.array(at(0, 0), at(w, 0), at(w, w), at(0, w), at(0, 0))
+
+    ext = c.filter("c_custkey % 5 <> 0").select(k.alias("exterior_id"), ring(k * 7 % 60, F.expr("(c_custkey div 3) % 60"), 2 + k % 9).alias("ring"))
+    hol = c.filter("c_custkey % 5 = 0").select(k.alias("hole_id"), ring(k * 11 % 60 + 0.25, F.expr("(c_custkey div 7) % 60") + 0.25, F.lit(0.5)).alias("ring"))
+    return spatial.nest_holes(ext, hol, cell=4.0)
+
+
+@query(f"WITH {_ring_sql}, p AS (SELECT id, unnest([[0, 0, 1, 0], [1, 0, 1, 1], [1, 1, 0, 1], [0, 1, 0, 0]]) AS d, x, y, w, h, cw FROM r) SELECT id, x + d[1] * w AS ax, y + d[2] * h AS ay, x + d[3] * w AS bx, y + d[4] * h AS b_y FROM p")
+def ring_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges of the repaired rings, wound counter-clockwise."""
+    r = _rings(spark, sf).withColumn("ring", G.oriented(G.repaired_ring(C("ring")), False))
+    return r.select("id", F.explode(G.edges(C("ring"))).alias("e")).select("id", C("e.a.lon").alias("ax"), C("e.a.lat").alias("ay"), C("e.b.lon").alias("bx"), C("e.b.lat").alias("b_y"))
+
+
 @query()
 def simplify_rings(spark: SparkSession, sf: str) -> DataFrame:
     """Dissolved outlines before and after simplification by 50 m: points left."""

@@ -26,7 +26,9 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import ship
+from tilewright.llm.common import prepare
+
+
 
 CHUNK = 1 << 15
 OVERLAP = 1 << 10
@@ -87,7 +89,7 @@ def chunks(text: str, chunk: int, overlap: int) -> list[tuple[int, str]]:
 def encoded(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, ids): the ids of each row as little-endian 32-bit integers."""
     spark = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     is_long = F.length("text") > chunk
 
@@ -146,7 +148,7 @@ def encoded(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id
 
 def round_trip(ids: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """Decode each row's ids; digests of the ids and of the decoded bytes."""
-    ship(ids.sparkSession)
+    prepare(ids.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(rank_file, pattern)

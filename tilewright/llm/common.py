@@ -1,15 +1,12 @@
-"""What the corpus operators share: the shared folder, shipping the package to
-the workers, word hashes and word-cached tokenization."""
+"""What the corpus operators share: the shared folder, batches, word hashes."""
 
 from __future__ import annotations
 
 import atexit
 import gc
-import os
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,16 +16,32 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.shipping import ship
+
 #: Entries of a per-worker word cache; it is emptied beyond that, so its memory is bounded.
 CACHE_ENTRIES = 400_000
 #: Multiplier of the polynomial window hashes (odd, 64 bits).
 WINDOW_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 512
+ROWS_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _local_dir: str | None = None
 
 
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and bound what Python gets at once: ``BATCH_ROWS`` rows.
+
+    Spark's own bound of 10,000 rows is too much for long texts, whose batches
+    must fit a worker's memory and 2 GB.  A smaller bound of the session stays.
+    """
+    ship(spark)
+    if not 0 < int(spark.conf.get(ROWS_AT_ONCE)) <= BATCH_ROWS:
+        spark.conf.set(ROWS_AT_ONCE, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share.
 
@@ -80,25 +93,6 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for a SparkContext."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tilewright_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="tilewright-py-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    target = os.path.join(folder, "tilewright_pkg.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for d, _, names in os.walk(root):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(d, n)
-                    z.write(full, os.path.join("tilewright", os.path.relpath(full, root)))
-    sc.addPyFile(target)
-    sc._tilewright_shipped = True
-
-
 def text_bytes(docs: DataFrame, text_col: str = "text"):
     """The text column as UTF-8 bytes (null stays null)."""
     return F.col(text_col).cast("binary")

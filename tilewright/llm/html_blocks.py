@@ -25,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import ship
+from tilewright.llm.common import prepare
+
+
 
 MIN_LENGTH = 70
 MAX_LINK_DENSITY = 0.4
@@ -216,7 +218,7 @@ def extract(page: str | None) -> tuple[str, int, int]:
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars, n_blocks, n_kept of every row."""
-    ship(pages.sparkSession)
+    prepare(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import ship, small_batches
+from tilewright.llm.common import prepare, small_batches
 
 PROFILE_SIZE = 1000
 DOC_GRAMS = 400
@@ -86,7 +86,7 @@ class Profiles:
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", profile_size: int = PROFILE_SIZE) -> dict[str, list[int]]:
     """Profiles of all rows whose language is known: language -> n-grams by rank."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -127,21 +127,21 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", profi
 
 def identify(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), profile_size: int = PROFILE_SIZE) -> DataFrame:
     """``lang_pred`` and ``score`` of every row, with the columns ``keep``."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     model = Profiles(profiles, profile_size)
 
+    columns = ["doc_id", *(c for c in keep if c != "doc_id")]
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), *columns[1:], *([] if text_col in columns else [F.col(text_col).alias("__text")]))
+    at = own.columns.index(text_col if text_col in columns else "__text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [model.predict(v.as_py()) for v in b.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(b.column(i) for i in range(2, b.num_columns)), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())],
-                names=["doc_id", *b.schema.names[2:], "lang_pred", "score"],
-            )
-
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text"), *keep)
-    kinds = dict(src.dtypes)
-    schema = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"])
-    return src.mapInArrow(run, schema)
+            got = [model.predict(v.as_py()) for v in b.column(at)]
+            found = [pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(columns))), *found], names=[*columns, "lang_pred", "score"])
+
+    kinds = dict(own.dtypes)
+    return own.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "lang_pred string", "score double"]))
 
 
 def fold(id_col: str = "doc_id"):

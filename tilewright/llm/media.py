@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import saved, scratch, ship, text_bytes
+from tilewright.llm.common import prepare, saved, scratch, text_bytes
 
 WIDTH = 64
 SHARD_BYTES = 256 << 20
@@ -93,7 +93,7 @@ def feature(samples: bytes) -> str:
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Store all payloads; a row for each document: doc_id, n_bytes, digest,
     shard, offset, length."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     schema = "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +166,7 @@ def content_columns(places: DataFrame) -> DataFrame:
 
 
 def _read(places: DataFrame, most: int | None, schema: str, columns) -> DataFrame:
-    ship(places.sparkSession)
+    prepare(places.sparkSession)
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [{"binary": pa.binary(), "int": pa.int32(), "long": pa.int64(), "string": pa.string()}[x.split()[1]] for x in schema.split(", ")]
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import ship, small_batches
+from tilewright.llm.common import prepare, small_batches
 from tilewright.llm.word_tokens import word_tokenizer
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -90,7 +90,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024
     """One row for each piece: which ids of which document, and where they lie."""
     if capacity < 1 << TAIL_BITS or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two, 64 at least")
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = word_tokenizer(tokenizer_path, True, "<u4")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import WordHashes, covered, drop_path, free_shuffles, mixed, saved, scratch, ship, small_batches, text_bytes, window_hashes
+from tilewright.llm.common import WordHashes, covered, drop_path, free_shuffles, mixed, prepare, saved, scratch, small_batches, text_bytes, window_hashes
 
 NO_ID = -(1 << 63)
 _word_spans = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -155,7 +155,7 @@ def substring_dedup(docs: DataFrame, min_words: int = 20, first_words: int = 10,
     words joined by one blank), the columns ``keep`` and, on demand,
     ``kept_text``: the text with the removed words cut out."""
     spark = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     levels = levels_of(min_words, first_words)
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), text_bytes(docs, text_col).alias("b"))
     states: list[tuple[str, DataFrame]] = []

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm import rans
-from tilewright.llm.common import drop_path, free_shuffles, saved, scratch, ship, small_batches
+from tilewright.llm.common import drop_path, free_shuffles, prepare, saved, scratch, small_batches
 from tilewright.llm.word_tokens import word_tokenizer
 
 MAGIC = b"TWTOKEN1"
@@ -43,7 +43,7 @@ TRAILER = "<QQI8s"  # place and size of the index, its crc32, magic
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): ids as little-endian 16-bit integers, the end id last."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = word_tokenizer(tokenizer_path, False, "<u2")
@@ -76,7 +76,7 @@ def id_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
 def write_store(tokens: DataFrame, path: str, counts: np.ndarray, shard_ids: int = SHARD_IDS, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Write the shards; a row for each: shard, path, n_docs, n_ids, n_bytes."""
     spark = tokens.sparkSession
-    ship(spark)
+    prepare(spark)
     freq = rans.scaled(counts)
     table = zlib.compress(freq.astype("<u4").tobytes())
     where, root = fs.FileSystem.from_uri(path)
@@ -175,7 +175,7 @@ def read_store(manifest: DataFrame) -> DataFrame:
     The shards' totals are summed up over the manifest, which has one row a
     shard; each shard is decoded by one task, block by block.
     """
-    ship(manifest.sparkSession)
+    prepare(manifest.sparkSession)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
     n = max(1, manifest.count())

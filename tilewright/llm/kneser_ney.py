@@ -4,8 +4,10 @@ The model's units are UTF-8 bytes, so a window of ``ORDER`` units is one 64-bit
 key, words need no vocabulary, and what is counted grows with the variety of
 the text and not with its length.  Model and scores come from sharded tables:
 
-1. All documents' windows are counted in each task and summed by key, with the
-   counts in trusted documents beside them.
+1. All documents' windows are counted in each task and summed by key, and so
+   are those of the trusted documents.  To find these, their ids are joined to
+   the texts that a filter of fixed size lets through (``FILTER_BITS``, 8 MB);
+   it spares shuffling the others and decides nothing.
 2. Lower orders count distinct extensions; each order has its three discounts
    from its counts of counts.
 3. Every window that occurs anywhere gets its probability by joins of its
@@ -30,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import drop_path, free_shuffles, saved, scratch, ship, small_batches, text_bytes
+from tilewright.llm.common import drop_path, free_shuffles, prepare, saved, scratch, small_batches, text_bytes
 
 ORDER = 5
 HOT = 1 << 19
@@ -43,6 +45,7 @@ SLACK = 0.02
 ENOUGH = 100
 BANDS = (64, 256, 1024, 4096)
 HELD_OUT_OF = 4
+FILTER_BITS = 26
 
 
 def windows(data: bytes) -> np.ndarray:
@@ -62,28 +65,24 @@ def _mask(order: int) -> int:
 
 
 def window_counts(texts: DataFrame) -> DataFrame:
-    """(gram, n_all, n_train) from (b, train)."""
+    """(gram, n) of a column ``b`` of bytes: counts of each task, not yet summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple:
-            keys = np.concatenate([x[0] for x in held])
-            u, inv = np.unique(keys, return_inverse=True)
-            return (u, *(np.bincount(inv, np.concatenate([x[j] for x in held]), len(u)).astype(np.int64) for j in (1, 2)))
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            u, inv = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            return u, np.bincount(inv, np.concatenate([x[1] for x in held]), len(u)).astype(np.int64)
 
         def out() -> pa.RecordBatch:
-            u, a, t = merged()
+            u, n = merged()
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(a), pa.array(t)], names=["gram", "n_all", "n_train"])
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)], names=["gram", "n"])
 
         for b in small_batches(batches, "b", 1 << 21):
-            raw, train = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for flag in (False, True):
-                own = [windows(x) for x, t in zip(raw, train) if x and bool(t) == flag]
-                if own:
-                    u, n = np.unique(np.concatenate(own), return_counts=True)
-                    held.append((u, n, n if flag else np.zeros_like(n)))
+            own = [windows(x) for x in b.column(0).to_pylist() if x]
+            if own:
+                held.append(np.unique(np.concatenate(own), return_counts=True))
             if len(held) > 12:
                 held[:] = [merged()]
                 if len(held[0][0]) > 1_500_000:
@@ -91,7 +90,45 @@ def window_counts(texts: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return texts.mapInArrow(run, "gram long, n_all long, n_train long").groupBy("gram").agg(F.sum("n_all").alias("n_all"), F.sum("n_train").alias("n_train"))
+    return texts.select("b").mapInArrow(run, "gram long, n long")
+
+
+def _places() -> list[Column]:
+    size = F.lit(1 << FILTER_BITS)
+    return [F.pmod(F.xxhash64("doc_id"), size), F.pmod(F.xxhash64("doc_id", F.lit(1)), size)]
+
+
+def likely(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (doc_id, b) of ``texts`` whose doc_id may be among ``ids``: all that
+    are, and few others unless there are many millions of ids.
+
+    The filter is ``1 << FILTER_BITS`` bits, whatever the number of ids.
+    """
+    places = ids.select(F.explode(F.array(*_places())).alias("at"))
+    words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.expr("1L"), F.col("at").bitwiseAND(63).cast("int"))).alias("bits")).toArrow()
+    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    bits = texts.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = bits.value
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            for i in (2, 3):
+                at = b.column(i).to_numpy()
+                keep &= (t[at >> 6] >> (at & 63)) & 1 == 1
+            yield b.select([0, 1]).filter(pa.array(keep))
+
+    return texts.select("doc_id", "b", *(c.alias(f"at{i}") for i, c in enumerate(_places()))).mapInArrow(run, "doc_id long, b binary")
+
+
+def corpus_counts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(gram, n_all, n_train) over all documents and those of ``trusted`` ids."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(docs, text_col).alias("b"))
+    zero = F.expr("0L")
+    everywhere = window_counts(texts).select("gram", F.col("n").alias("n_all"), zero.alias("n_train"))
+    known = window_counts(likely(texts, trusted).join(trusted, "doc_id", "left_semi")).select("gram", zero.alias("n_all"), F.col("n").alias("n_train"))
+    return everywhere.unionByName(known).groupBy("gram").agg(F.sum("n_all").alias("n_all"), F.sum("n_train").alias("n_train"))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -107,7 +144,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 def probabilities(counts: DataFrame, to: str) -> DataFrame:
     """(gram, nll, n_all): negative log probability of each window's last byte
-    after the bytes before it.  ``counts``: as of ``window_counts``, stored; ``to``: where
+    after the bytes before it.  ``counts``: as of ``corpus_counts``, stored; ``to``: where
     the result is stored."""
     spark = counts.sparkSession
     level = counts.filter("n_train > 0").select("gram", F.col("n_train").alias("c"))
@@ -200,14 +237,12 @@ def document_scores(docs: DataFrame, nll: DataFrame, lang_col: str, id_col: str,
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity (of a byte), limit and kept of every row."""
     spark = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT_OF == HELD_OUT_OF - 1
-    trusted = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).filter("q = 1")
+    trusted = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).filter("q = 1 and doc_id is not null")
     trusted = trusted.select("doc_id", held.alias("held"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(docs, text_col).alias("b"))
-    texts = texts.join(trusted, "doc_id", "left").select("b", F.coalesce(~F.col("held"), F.lit(False)).alias("train"))
     counts_path = scratch(spark, "kn-counts")
-    counts = saved(window_counts(texts), counts_path)
+    counts = saved(corpus_counts(docs, trusted.filter("not held").select("doc_id"), id_col, text_col), counts_path)
     free_shuffles(spark)
     nll_path = scratch(spark, "kn-nll")
     nll = probabilities(counts, nll_path)
@@ -225,8 +260,9 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     def limits(name: str, *keys: str) -> DataFrame:
         return known.groupBy(*keys).agg(F.count("*").alias(f"{name}_n"), limit.alias(name))
 
-    out = scores.join(limits("l1", "lang", "band"), ["lang", "band"], "left").join(limits("l2", "band"), "band", "left")
-    out = out.join(limits("l3", "lang"), "lang", "left").join(F.broadcast(known.agg(limit.alias("l4"))))
+    # These tables have a row for each language and band at most.
+    out = scores.join(F.broadcast(limits("l1", "lang", "band")), ["lang", "band"], "left").join(F.broadcast(limits("l2", "band")), "band", "left")
+    out = out.join(F.broadcast(limits("l3", "lang")), "lang", "left").join(F.broadcast(known.agg(limit.alias("l4"))))
     own = F.coalesce(F.when(F.col("l1_n") >= ENOUGH, F.col("l1")), F.when(F.col("l2_n") >= ENOUGH, F.col("l2")), F.when(F.col("l3_n") >= ENOUGH, F.col("l3")), F.col("l4"))
     out = out.withColumn("own", own)
     return out.select(

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import byte_bpe, html_blocks, kneser_ney, langid, media, packing, repetition, setsketch, substring, token_store
+from tilewright.llm import byte_bpe, html_blocks, kneser_ney, langid, media, oracles, packing, repetition, setsketch, substring, token_store
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition_quality(_documents(spark, sf_dir))
+    return repetition.repetition_quality(_documents(spark, sf_dir)).drop("dup_line_chars", "top_chars", "dup_chars")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +68,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_substring": oracles.SUBSTRING, "op8_repetition": oracles.repetition(), "op9_near_duplicates": oracles.NEAR_DUPLICATES}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import WordHashes, covered, ship, text_bytes, window_hashes
+from tilewright.llm.common import WordHashes, covered, prepare, text_bytes, window_hashes
 
 
 @dataclass(frozen=True)
@@ -108,9 +108,10 @@ def measure(data: bytes, rules: RepetitionRules, cache: WordHashes) -> tuple:
         if k in tops:
             best = 0
             if found:
-                sizes = found[2]
-                g = int(np.argmax(sizes))
-                best = int(lens[covered(np.sort(found[0][found[1] == g]), k, n)].sum())
+                # Of equally frequent n-grams the one that comes first; positions ascend within a group.
+                where, group, sizes = found
+                g = group[where == where[sizes[group] == sizes.max()].min()][0]
+                best = int(lens[covered(np.sort(where[group == g]), k, n)].sum())
             top_chars[k] = best
     base_failed = n < rules.min_words or 100 * n_repeat > rules.max_repeat_percent * n
     kept = not base_failed and not (
@@ -126,7 +127,7 @@ def measure(data: bytes, rules: RepetitionRules, cache: WordHashes) -> tuple:
 
 def repetition_quality(docs: DataFrame, rules: RepetitionRules = RepetitionRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: the measures, ``base_failed`` and ``kept``."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import WordHashes, drop_path, free_shuffles, mixed, saved, scratch, ship, text_bytes, window_hashes
+from tilewright.llm.common import WordHashes, drop_path, free_shuffles, mixed, prepare, saved, scratch, text_bytes, window_hashes
 from tilewright.llm.components import components
 
 BANDS, ROWS = 48, 5
@@ -158,7 +158,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, shingle: int = 5, id_
     """doc_id, n_shingles, component_id and kept of every row; ``similarity``
     in hundredths of intersection to union."""
     spark = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     share = similarity / 100
     factors = multipliers()
     equal = share + (1 - share) / (1 << DIGEST_BITS)  # chance that two registers' digests are equal
@@ -171,8 +171,8 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, shingle: int = 5, id_
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("fp").agg(first)
     classes = saved(classes.select("fp", F.col("m.doc_id").alias("rep"), F.col("m.n").alias("n"), F.col("m.sketch").alias("sketch")), paths["classes"])
 
-    band = F.explode(F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS))))
-    banded = classes.select(band.alias("key"), "rep")
+    keys = F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)))
+    banded = classes.select(F.posexplode(keys).alias("band", "key"), "rep")
     buckets = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     members = saved(banded.join(buckets, "key"), paths["members"])
 
@@ -220,11 +220,12 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, shingle: int = 5, id_
     joined = components(links)
 
     # The rest: pairs of a bucket that are still apart.
-    apart = members.select("key", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    apart = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
     unlike = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
     apart = apart.join(unlike, "key", "left_semi")
     asked = apart.select("rep").distinct()
-    known = _with_digests(classes.join(asked, "rep", "left_semi")).join(whole, "rep")
+    own = classes.join(asked, "rep", "left_semi")
+    known = _with_digests(own).join(own.select("rep", keys.alias("keys")), "rep").join(whole, "rep")
     apart = apart.join(known, "rep")
     x, y = apart.alias("x"), apart.alias("y")
     both = F.size(F.array_intersect("x.elements", "y.elements"))
@@ -234,6 +235,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, shingle: int = 5, id_
         & (F.col("x.component") != F.col("y.component"))
         & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * similarity)
         & (_agreeing() >= agree_at_least)
+        & ~F.arrays_overlap(F.slice("x.keys", 1, F.col("x.band")), F.slice("y.keys", 1, F.col("y.band")))  # their first common bucket
         & (both * 100 >= (F.col("x.n") + F.col("y.n") - both) * similarity)
     )
     more = x.join(y, near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
@@ -243,8 +245,8 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, shingle: int = 5, id_
 
     out = rows.select("doc_id", "n", "fp").join(classes.select("fp", "rep"), "fp", "left")
     out = out.join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "rep", "doc_id"))
-    result = out.select("doc_id", F.col("n").alias("n_shingles"), own.cast("long").alias("component_id"))
+    label = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "rep", "doc_id"))
+    result = out.select("doc_id", F.col("n").alias("n_shingles"), label.cast("long").alias("component_id"))
     result = saved(result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), scratch(spark, "near-result"))
     drop_path(spark, *paths.values())
     free_shuffles(spark)

@@ -125,8 +125,13 @@ def dissolve_edges(members: DataFrame) -> DataFrame:
         F.struct("ord", "part", "ring", "i").alias("place"),
         *(G.quantized(F.col(f"e.{p}.{c}")).alias(p + n) for p in "ab" for c, n in (("lon", "x"), ("lat", "y"))),
     ).filter("ax <> bx or ay <> by")
-    back = q.select("group", F.col("bx").alias("ax"), F.col("by").alias("ay"), F.col("ax").alias("bx"), F.col("ay").alias("by"))
-    return q.join(back, ["group", "ax", "ay", "bx", "by"], "left_anti")
+    # Both directions of an edge meet in one group of a few rows, so one shuffle finds the reverses.
+    a, b = F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))
+    pair = q.select("group", F.least(a, b).alias("low"), F.greatest(a, b).alias("high"), (a < b).alias("up"), "place")
+    one_way = pair.groupBy("group", "low", "high").agg(F.min("up").alias("up"), F.max("up").alias("other"), F.collect_list("place").alias("places")).filter("up = other")
+    start, end = F.when(F.col("up"), F.col("low")).otherwise(F.col("high")), F.when(F.col("up"), F.col("high")).otherwise(F.col("low"))
+    out = one_way.select("group", start.alias("a"), end.alias("b"), F.explode("places").alias("place"))
+    return out.select("group", "place", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
 
 
 def dissolved(members: DataFrame, simplify_metres: float = 0.0) -> DataFrame:

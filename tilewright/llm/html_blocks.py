@@ -30,7 +30,8 @@ from tilewright.llm.common import prepare
 
 
 MIN_LENGTH = 70
-MAX_LINK_DENSITY = 0.4
+#: Share of a block's characters inside links, outside and inside an article.
+MAX_LINK_DENSITY, MAX_ARTICLE_LINK_DENSITY = 0.4, 0.8
 LOW_STOPS, HIGH_STOPS = 0.12, 0.25
 
 STOP_WORDS = {
@@ -173,7 +174,7 @@ def stop_density(text: str) -> float:
 
 def decide(b: Block) -> str:
     """First pass: good, bad or undecided."""
-    if b.out or b.link_chars > MAX_LINK_DENSITY * len(b.text):
+    if b.out or b.link_chars > (MAX_ARTICLE_LINK_DENSITY if b.section else MAX_LINK_DENSITY) * len(b.text):
         return "bad"
     if len(b.text) < MIN_LENGTH:
         return "bad" if not b.section and b.text[:1] in "©" else "undecided"

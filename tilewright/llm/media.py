@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import prepare, saved, scratch, text_bytes
+from tilewright.llm.common import free_caches, prepare, saved, scratch, text_bytes
 
 WIDTH = 64
 SHARD_BYTES = 256 << 20
@@ -97,6 +97,7 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     schema = "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         to, folder = fs.FileSystem.from_uri(path)
         to.create_dir(folder, recursive=True)
         part, number = TaskContext.get().partitionId(), 0
@@ -152,15 +153,14 @@ def header_columns(places: DataFrame) -> DataFrame:
 
 def content_columns(places: DataFrame) -> DataFrame:
     """Digests and features of each payload, read back whole."""
-    schema = "digest binary, width int, height int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def columns(digest: bytes, image: bytes, n: int) -> tuple:
         samples = from_image(image)
         own = hashlib.sha256(samples)
         if own.digest() != digest:
             raise ValueError("a payload does not have its address")
-        width, height, _ = header(image[:HEADER_BYTES])
-        return (digest, width, height, len(samples), own.hexdigest(), zlib.crc32(samples[-WIDTH:]), n, hashlib.sha256(image).hexdigest(), feature(samples))
+        return (digest, len(samples), own.hexdigest(), zlib.crc32(samples[-WIDTH:]), n, hashlib.sha256(image).hexdigest(), feature(samples))
 
     return _read(places, None, schema, columns)
 
@@ -171,6 +171,7 @@ def _read(places: DataFrame, most: int | None, schema: str, columns) -> DataFram
     kinds = [{"binary": pa.binary(), "int": pa.int32(), "long": pa.int64(), "string": pa.string()}[x.split()[1]] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         name, file = None, None
         for b in batches:
             rows = []
@@ -188,8 +189,10 @@ def _read(places: DataFrame, most: int | None, schema: str, columns) -> DataFram
 
 def media_columns(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document with its payload's place, digests and features."""
-    rows = write_shards(docs, path or scratch(docs.sparkSession, "media"), id_col, text_col)
-    content = content_columns(addressed(rows))
-    return rows.select("doc_id", "n_bytes", "digest").join(content, "digest").drop("digest").select(
+    path = path or scratch(docs.sparkSession, "media")
+    rows = write_shards(docs, path, id_col, text_col)
+    places = saved(addressed(rows), f"{path}/places")
+    columns = header_columns(places).join(content_columns(places), "digest")
+    return rows.select("doc_id", "n_bytes", "digest").join(columns, "digest").select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"
     )

@@ -26,7 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import prepare
+from tilewright.llm.common import free_caches, prepare
 
 
 
@@ -94,6 +94,7 @@ def encoded(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id
     is_long = F.length("text") > chunk
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         c = codec(rank_file, pattern)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.encode(v.as_py()).tobytes() for v in b.column(1)], pa.binary())], names=["doc_id", "ids"])
@@ -101,6 +102,7 @@ def encoded(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id
     short = src.filter(~is_long).mapInArrow(whole, "doc_id long, ids binary")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         for b in batches:
             for row, doc, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 for k, (start, part) in enumerate(chunks(text, chunk, overlap)):
@@ -110,6 +112,7 @@ def encoded(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id
                     )
 
     def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         c = codec(rank_file, pattern)
         for b in batches:
             starts, parts = b.column(3).to_pylist(), b.column(4).to_pylist()
@@ -127,6 +130,7 @@ def encoded(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id
     pieces = pieces.withColumn("end", F.lead("begin").over(Window.partitionBy("row").orderBy("piece")))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         c = codec(rank_file, pattern)
         for b in batches:
             out = []
@@ -140,6 +144,7 @@ def encoded(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id
     whole_docs = ids.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b"".join(x["ids"] for x in v.as_py()) for v in b.column(1)], pa.binary())], names=["doc_id", "ids"])
 
@@ -151,6 +156,7 @@ def round_trip(ids: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     prepare(ids.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         c = codec(rank_file, pattern)
         for b in batches:
             raw = [v.as_py() for v in b.column(1)]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -19,27 +21,30 @@ from pyspark.sql import functions as F
 from tilewright.shipping import ship
 
 #: Entries of a per-worker word cache; it is emptied beyond that, so its memory is bounded.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 #: Multiplier of the polynomial window hashes (odd, 64 bits).
 WINDOW_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 #: Rows of an Arrow batch.
 BATCH_ROWS = 512
 ROWS_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS_READ = "spark.sql.parquet.columnarReaderBatchSize"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _local_dir: str | None = None
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the package, and bound what Python gets at once: ``BATCH_ROWS`` rows.
+    """Ship the package, and bound the rows that Python gets and that the Parquet
+    reader decodes at once: ``BATCH_ROWS``.
 
-    Spark's own bound of 10,000 rows is too much for long texts, whose batches
-    must fit a worker's memory and 2 GB.  A smaller bound of the session stays.
+    Spark's own bounds of 10,000 and 4096 rows are too much for long texts,
+    whose batches must fit a worker's memory and 2 GB.  A smaller bound of the session stays.
     """
     ship(spark)
-    if not 0 < int(spark.conf.get(ROWS_AT_ONCE)) <= BATCH_ROWS:
-        spark.conf.set(ROWS_AT_ONCE, str(BATCH_ROWS))
+    for name in (ROWS_AT_ONCE, ROWS_READ):
+        if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+            spark.conf.set(name, str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -87,6 +92,12 @@ def drop_path(spark: SparkSession, *paths: str) -> None:
         hp.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hp, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that operators left in the shared folder.  Results that still
+    read from it (token stores, media shards, states) must be done with."""
+    drop_path(spark, f"{shared_dir(spark)}/tilewright")
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner remove shuffle files of finished steps now."""
     gc.collect()
@@ -98,6 +109,29 @@ def text_bytes(docs: DataFrame, text_col: str = "text"):
     return F.col(text_col).cast("binary")
 
 
+_caches: list[dict] = []
+
+
+def keep_cache(cache: dict) -> dict:
+    """A worker's cache that outlives its task, until ``free_caches``."""
+    _caches.append(cache)
+    return cache
+
+
+def trim_memory() -> None:
+    """Give memory that earlier tasks of this worker have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def free_caches() -> None:
+    """Empty what earlier tasks of other operators left in this worker."""
+    for c in _caches:
+        c.clear()
+    trim_memory()
+
+
 def small_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``column`` holds about ``limit`` bytes each
     (one longer value makes a slice by itself)."""

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import prepare
+from tilewright.llm.common import free_caches, prepare
 
 
 
@@ -222,6 +222,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     prepare(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         for b in batches:
             got = [extract(x.as_py()) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays(

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import prepare, small_batches
+from tilewright.llm.common import free_caches, prepare, small_batches
 
 PROFILE_SIZE = 1000
 DOC_GRAMS = 400
@@ -89,6 +89,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", profi
     prepare(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +101,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", profi
             u, n = merged(held.pop(name))
             return pa.RecordBatch.from_arrays([pa.array([name] * len(u), pa.string()), pa.array(u), pa.array(n)], names=["lang", "gram", "n"])
 
-        for b in small_batches(batches, "text", 1 << 20):
+        for b in small_batches(batches, "text", 1 << 18):
             by: dict[str, list[str]] = {}
             for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 by.setdefault(name, []).append(text)
@@ -109,7 +110,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", profi
                 own.append(np.unique(grams("\n".join(texts)), return_counts=True))
                 if len(own) > 8:
                     own[:] = [merged(own)]
-                    if len(own[0][0]) > 1_000_000:
+                    if len(own[0][0]) > 700_000:
                         yield rows(name)
         for name in list(held):
             yield rows(name)
@@ -135,6 +136,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc
     at = own.columns.index(text_col if text_col in columns else "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         for b in batches:
             got = [model.predict(v.as_py()) for v in b.column(at)]
             found = [pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())]

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import prepare, small_batches
+from tilewright.llm.common import prepare, small_batches, trim_memory
 from tilewright.llm.word_tokens import word_tokenizer
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -93,6 +93,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim_memory()
         tok = word_tokenizer(tokenizer_path, True, "<u4")
         end = np.array([end_id], "<u4").tobytes()
         bins = Bins(TaskContext.get().partitionId(), capacity)

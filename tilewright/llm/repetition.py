@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import WordHashes, covered, prepare, text_bytes, window_hashes
+from tilewright.llm.common import WordHashes, covered, free_caches, prepare, text_bytes, window_hashes
 
 
 @dataclass(frozen=True)
@@ -130,6 +130,7 @@ def repetition_quality(docs: DataFrame, rules: RepetitionRules = RepetitionRules
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         cache = WordHashes()
         for b in batches:
             rows = [measure(x or b"", rules, cache) for x in (v.as_py() for v in b.column(1))]

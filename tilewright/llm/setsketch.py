@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import WordHashes, drop_path, free_shuffles, mixed, prepare, saved, scratch, text_bytes, window_hashes
+from tilewright.llm.common import WordHashes, drop_path, free_caches, free_shuffles, mixed, prepare, saved, scratch, text_bytes, window_hashes
 from tilewright.llm.components import components
 
 BANDS, ROWS = 48, 5
@@ -118,6 +118,7 @@ def sketched(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
     factors = multipliers()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         cache = WordHashes()
         for b in batches:
             n, fp, sk = [], [], []
@@ -136,6 +137,7 @@ def _with_digests(classes: DataFrame) -> DataFrame:
     names = [f"w{i}" for i in range(WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         for b in batches:
             w = np.array([digests(np.frombuffer(x.as_py(), "<u2")) for x in b.column(2)], np.int64).reshape(-1, WORDS)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(w[:, i].copy()) for i in range(WORDS))], names=["rep", "n", *names])
@@ -179,6 +181,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, shingle: int = 5, id_
     ids = members.select("rep").distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         cache = WordHashes()
         for b in batches:
             s = [shingle_set(x.as_py(), shingle, cache).view(np.int64) for x in b.column(1)]
@@ -190,6 +193,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, shingle: int = 5, id_
 
     def verified(pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            free_caches()
             for b in batches:
                 if not b.num_rows:
                     continue

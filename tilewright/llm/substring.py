@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import WordHashes, covered, drop_path, free_shuffles, mixed, prepare, saved, scratch, small_batches, text_bytes, window_hashes
+from tilewright.llm.common import WordHashes, covered, drop_path, free_caches, free_shuffles, mixed, prepare, saved, scratch, small_batches, text_bytes, window_hashes
 
 NO_ID = -(1 << 63)
 _word_spans = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -82,6 +82,7 @@ def _level(src: DataFrame, done: list[int], states: list, length: int, min_words
     """(doc_id, single_N): the document's named windows that occur but once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         cache = WordHashes()
         for b in small_batches(batches, "b", 4 << 20):
             docs, places, hashes = [], [], []
@@ -105,6 +106,7 @@ def _firsts(src: DataFrame, levels: list[int], states: list, min_words: int) ->
     """(doc_id, firsts): hashes of candidate windows that occur in no earlier document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         cache = WordHashes()
         for b in small_batches(batches, "b", 4 << 20):
             docs, high, low = [], [], []
@@ -169,6 +171,7 @@ def substring_dedup(docs: DataFrame, min_words: int = 20, first_words: int = 10,
     free_shuffles(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         cache = WordHashes()
         n_keep = len(keep)
         for b in batches:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import drop_path, free_shuffles, prepare, saved, scratch, small_batches, text_bytes
+from tilewright.llm.common import drop_path, free_caches, free_shuffles, prepare, saved, scratch, small_batches, text_bytes
 
 ORDER = 5
 HOT = 1 << 19
@@ -68,6 +68,7 @@ def window_counts(texts: DataFrame) -> DataFrame:
     """(gram, n) of a column ``b`` of bytes: counts of each task, not yet summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -79,13 +80,13 @@ def window_counts(texts: DataFrame) -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)], names=["gram", "n"])
 
-        for b in small_batches(batches, "b", 1 << 21):
+        for b in small_batches(batches, "b", 1 << 19):
             own = [windows(x) for x in b.column(0).to_pylist() if x]
             if own:
                 held.append(np.unique(np.concatenate(own), return_counts=True))
             if len(held) > 12:
                 held[:] = [merged()]
-                if len(held[0][0]) > 1_500_000:
+                if len(held[0][0]) > 700_000:
                     yield out()
         if held:
             yield out()
@@ -111,6 +112,7 @@ def likely(texts: DataFrame, ids: DataFrame) -> DataFrame:
     bits = texts.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         t = bits.value
         for b in batches:
             keep = np.ones(b.num_rows, bool)
@@ -179,26 +181,43 @@ def probabilities(counts: DataFrame, to: str) -> DataFrame:
 
 
 class HotTable:
-    """Direct-mapped table; of two windows in a slot the more frequent stays,
-    the other counts as absent."""
+    """Hash table of fixed size with ``PROBES`` places for each window; the few
+    whose places are all taken by more frequent ones count as absent."""
+
+    PROBES = 3
 
     def __init__(self, grams: np.ndarray, nll: np.ndarray):
         """``grams`` from the most frequent on."""
         self.keys = np.full(1 << SLOT_BITS, -1, np.int64)
         self.values = np.zeros(1 << SLOT_BITS)
-        at = self.slot(grams)[::-1]
-        self.keys[at] = grams[::-1]
-        self.values[at] = nll[::-1]
+        rest = np.arange(len(grams))
+        for probe in range(self.PROBES):
+            at = self.slot(grams[rest], probe)
+            free = self.keys[at] == -1
+            rest_, at = rest[free][::-1], at[free][::-1]  # the most frequent is written last
+            self.keys[at] = grams[rest_]
+            self.values[at] = nll[rest_]
+            rest = rest[self.keys[self.slot(grams[rest], probe)] != grams[rest]]
 
     @staticmethod
-    def slot(grams: np.ndarray) -> np.ndarray:
-        return ((grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    def slot(grams: np.ndarray, probe: int) -> np.ndarray:
+        factor = np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)[probe])
+        return ((grams.view(np.uint64) * factor) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
     def look_up(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values (0 where absent) and the mask of those present."""
-        s = self.slot(grams)
-        there = self.keys[s] == grams
-        return np.where(there, self.values[s], 0.0), there
+        at = self.slot(grams, 0)
+        there = self.keys[at] == grams
+        values = np.where(there, self.values[at], 0.0)
+        for probe in range(1, self.PROBES):
+            miss = np.flatnonzero(~there)
+            if not len(miss):
+                break
+            at = self.slot(grams[miss], probe)
+            hit = self.keys[at] == grams[miss]
+            values[miss[hit]] = self.values[at[hit]]
+            there[miss[hit]] = True
+        return values, there
 
 
 def document_scores(docs: DataFrame, nll: DataFrame, lang_col: str, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
@@ -209,8 +228,9 @@ def document_scores(docs: DataFrame, nll: DataFrame, lang_col: str, id_col: str,
     schema = "row long, doc_id long, lang string, gram long, n long, total double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         fast = HotTable(*table.value)
-        for b in small_batches(batches, "b", 1 << 21):
+        for b in small_batches(batches, "b", 1 << 19):
             rows, docs_, langs = (b.column(i).to_pylist() for i in (0, 1, 2))
             n, total, cold = [], [], []
             for i, x in enumerate(b.column(3)):

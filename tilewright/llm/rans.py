@@ -43,7 +43,7 @@ def scaled(counts: np.ndarray) -> np.ndarray:
 
 
 class Coder:
-    def __init__(self, freq: np.ndarray, lanes: int = 1024, checkpoint_steps: int = 128):
+    def __init__(self, freq: np.ndarray, lanes: int = 4096, checkpoint_steps: int = 128):
         self.freq = freq.astype(np.uint64)
         self.start = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64)
         self.lanes, self.checkpoint_steps = lanes, checkpoint_steps

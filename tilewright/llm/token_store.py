@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm import rans
-from tilewright.llm.common import drop_path, free_shuffles, prepare, saved, scratch, small_batches
+from tilewright.llm.common import drop_path, free_shuffles, prepare, saved, scratch, small_batches, trim_memory
 from tilewright.llm.word_tokens import word_tokenizer
 
 MAGIC = b"TWTOKEN1"
 NO_ID = -(1 << 63)
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 20
 SHARD_IDS = 1 << 22
 TRAILER = "<QQI8s"  # place and size of the index, its crc32, magic
 
@@ -46,6 +46,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim_memory()
         tok = word_tokenizer(tokenizer_path, False, "<u2")
         if tok.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")

@@ -10,18 +10,32 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from tilewright.llm.common import keep_cache
+
 # A worker has one core; the library's own threads would only spin.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Words of a worker's cache (about 200 bytes each); it is emptied beyond that.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 800_000
 #: Words that go to the library as one text.
 WORDS_AT_ONCE = 2000
 #: Stands between them: a pre-token of its own that merges with nothing.
 MARK = "\0"
+#: Plain letters are those before this one: Latin letters, on which all Unicode versions agree.
+LATIN_END = "\u0250"
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable
+    bytes for themselves, the others for the letters from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
 
 _two_spaces = re.compile(r"\s\s")
 
@@ -35,8 +49,9 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keep_space, self.dtype = keep_space, np.dtype(dtype)
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {} if keep_space else self.first
+        self.first: dict[str, bytes] = keep_cache({})
+        self.later: dict[str, bytes] = keep_cache({}) if keep_space else self.first
+        self.byte_letters = byte_letters()
         self.endings = dict(zip(",.;:!?", self._whole(list(",.;:!?"))))
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         tied = [t for t, i in self.tokenizer.get_vocab().items() if "\u0100" in t and t not in ("\u0100", "\u0100</w>")]
@@ -64,15 +79,41 @@ class WordTokenizer:
             raise ValueError("a word holds the mark")
         return out
 
-    def _learn(self, cache: dict[str, bytes], words: list[str], lead: str) -> None:
+    def _letters(self, words: list[str], lead: str) -> list[bytes]:
+        """The ids of each word of plain letters, in lower case where the
+        tokenizer drops case: one pre-token, so the library's model gets it
+        directly."""
+        tokenize, letters = self.tokenizer.model.tokenize, self.byte_letters
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        first = letters[32] if lead else ""
+        out = []
+        for w in words:
+            if not w.isascii():
+                w = "".join(map(letters.__getitem__, w.encode()))
+            out.append(array(code, [t.id for t in tokenize(first + w)]).tobytes())
+        return out
+
+    def _learn(self, cache: dict[str, bytes], words: set[str], lead: str) -> None:
         """Add words to a cache.  Letters and one mark after them are always two
         pre-tokens, so such a word is its letters' ids and the mark's; where the
         tokenizer drops case, plain letters are looked up in lower case."""
         stems: dict[str, str] = {}
         for w in words:
-            stem = w[:-1] if w[-1:] in self.endings and w[:-1].isalpha() and w[:-1].lower().isalpha() else w
-            stems[w] = stem.lower() if not self.keep_space and stem.isascii() and stem.isalpha() else stem
+            stem = w
+            if not w.isalpha() and w[-1:] in self.endings and w[:-1].isalpha():
+                stem = w[:-1]
+            if not self.keep_space and stem.isalpha():
+                low = stem.lower()
+                if not (low.isalpha() and (stem.isascii() or max(stem) < LATIN_END)):
+                    low = w  # its case or its letters are left to the library, with the mark
+                stem = low
+            stems[w] = stem
         new = [x for x in dict.fromkeys(stems.values()) if x not in cache]
+        plain = []
+        if sys.byteorder == "little":
+            plain = [x for x in new if x.isalpha() and (x.isascii() or max(x) < LATIN_END) and (self.keep_space or x == x.lower())]
+        cache.update(zip(plain, self._letters(plain, lead)))
+        new = [x for x in new if x not in cache] if plain else new
         for i in range(0, len(new), 50_000):
             some = new[i : i + 50_000]
             cache.update(zip(some, self._words(some, lead)))
@@ -100,7 +141,7 @@ class WordTokenizer:
                 tails.update(p[1:])
             parts.append(p)
         for cache, words, lead in ((self.first, heads, ""), (self.later, tails, " " if self.keep_space else "")):
-            self._learn(cache, [w for w in words if w not in cache], lead)
+            self._learn(cache, words.difference(cache), lead)
         out = []
         for t, p in zip(texts, parts):
             if p is None:
@@ -112,7 +153,7 @@ class WordTokenizer:
         return out
 
 
-_open: dict[tuple[str, bool, str], WordTokenizer] = {}
+_open: dict[tuple[str, bool, str], WordTokenizer] = keep_cache({})
 
 
 def word_tokenizer(path: str, keep_space: bool, dtype: str) -> WordTokenizer:

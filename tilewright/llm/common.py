@@ -102,6 +102,7 @@ def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner remove shuffle files of finished steps now."""
     gc.collect()
     spark._jvm.System.gc()
+    trim_memory()
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text"):

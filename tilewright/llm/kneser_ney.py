@@ -249,6 +249,7 @@ def document_scores(docs: DataFrame, nll: DataFrame, lang_col: str, id_col: str,
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_bytes(docs, text_col).alias("b"))
     path = scratch(spark, "kn-scores")
     both = saved(src.mapInArrow(run, schema), path)
+    table.unpersist()
     base = both.filter("gram is null").select("row", "doc_id", "lang", F.col("n").alias("n_bytes"), "total")
     rest = both.filter("gram is not null").join(nll.select("gram", "nll"), "gram").groupBy("row").agg(F.sum(F.col("n") * F.col("nll")).alias("more"))
     return base.join(rest, "row", "left").select("row", "doc_id", "lang", "n_bytes", (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")), [path]

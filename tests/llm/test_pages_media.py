@@ -25,6 +25,20 @@ def test_without_article():
     assert H.extract("<p>" + "xyzzy qwfp " * 20)[0] == ""
 
 
+def test_languages_without_list():
+    texts = (
+        "Вчера вечером наш небольшой город отметил свой день рождения, на площади собрались сотни жителей и гостей.",
+        "Wczoraj wieczorem nasze miasto obchodziło swoje urodziny, setki mieszkańców zebrały się na rynku głównym.",
+        "Kaupunki juhli eilen syntymäpäiväänsä, satoja asukkaita kokoontui torille kuuntelemaan musiikkia ja puheita.",
+    )
+    for t in texts:
+        text, _, _ = H.extract(f"<nav><ul><li><a href=1>x</a></li></ul></nav><h1>A</h1><p>{t}</p><p>{t}</p><footer>{GOOD}</footer>")
+        assert text == f"A\n{t}\n{t}"
+    assert H.extract("<h1>A</h1><p>short</p><div class=ad>b</div>")[0] == "A\nshort"
+    table = "Alpha 17 bravo 23 charlie 42 delta 56 echo 71 foxtrot 88 golf 90 hotel 104 india"
+    assert H.extract(f"<p>{GOOD}</p><pre>{table}</pre><p>{GOOD}</p><p><a href=1>{GOOD}</a></p>")[0] == f"{GOOD}\n{table}\n{GOOD}"
+
+
 def test_damaged_pages():
     assert H.extract(None) == ("", 0, 0) and H.extract("") == ("", 0, 0)
     for page in ("<", "<p", "<!--", "<article><p>a<", "</div></p>", "<script>", "<p class='x>y", "<a " * 50, "&#x110000; &nosuch;"):

@@ -2,11 +2,14 @@
 
 A page is cut at block-level tags.  First pass: a block inside a menu, footer,
 advert, form, comment section and the like is out; of the rest, link density,
-length and stop-word density decide good, bad or undecided.  Second pass: an
-undecided block (short, or without clear density) takes the label of the
-nearest decided neighbours in its section; between a good and a bad one at
-the same distance, and with no decided neighbour at all, it is good inside an
-article and bad outside.
+length and stop-word density decide good, bad or undecided.  Stop words only
+speak for a block: the lists do not cover every language, so a long block
+without them is undecided, and where no block of a section has them, its long
+blocks are good; a block that says fewer than ``FEW_WORDS`` words ten times over
+is no text.  Second pass: an undecided block takes the label of the nearest
+decided neighbours in its section, these and containers that are out not
+counted; between a good and a bad one at the same distance it is good inside an
+article and bad outside; with no decided neighbour it is good.
 
 Inside an explicit article only link density makes a block bad there: what an
 article says in few or strange words still belongs to it.  Pages are
@@ -32,13 +35,19 @@ from tilewright.llm.common import free_caches, prepare
 MIN_LENGTH = 70
 #: Share of a block's characters inside links, outside and inside an article.
 MAX_LINK_DENSITY, MAX_ARTICLE_LINK_DENSITY = 0.4, 0.8
-LOW_STOPS, HIGH_STOPS = 0.12, 0.25
+HIGH_STOPS = 0.25
+FEW_WORDS = 20
 
 STOP_WORDS = {
     "en": "the of and to a in is it that for on with as was at by be this are from or an not have has had but they his her its you we i which will would there their been were if more when who can all one what so".split(),
     "de": "der die das und in zu den von mit ist des im für auf ein eine dem nicht als auch es an er sie sich so dass bei aus wird hat nach wie war sind noch um am oder aber einer einem über".split(),
     "fr": "le la les de des du et un une en dans que qui est pour pas sur au par avec ce il elle se ne plus sont aux ou mais son sa ses cette nous vous on été".split(),
     "es": "el la los las de del y en un una que es por con para no se su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta".split(),
+    "it": "il lo la i gli le di del della dei delle e è in un una che per con non si da dal al alla come più ma sono nel nella ha su questo anche o se ci".split(),
+    "pt": "o a os as de do da dos das e em no na nos nas um uma que é por com para não se ao mais como mas foi pelo pela ou seu sua são também já".split(),
+    "nl": "de het een en van in is dat op te met voor zijn niet aan er die als ook om maar door bij uit naar wordt was hij ze heeft nog of over dan".split(),
+    "pl": "w i z na do nie się to że jest o od po jak za przez ale dla są co był była oraz tym tego ze czy już lub być który która które może".split(),
+    "ru": "и в не на что с по как это к из у за от о для он она они но а же бы был была было все его её или так также при до если".split(),
 }
 STOPS = [frozenset(x) for x in STOP_WORDS.values()]
 
@@ -166,45 +175,52 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def stop_density(text: str) -> float:
+def stop_density(words: list[str]) -> float:
     """Share of stop words, of the language that has most of them."""
-    words = _word.findall(text.lower())
     return max(sum(w in s for w in words) for s in STOPS) / len(words) if words else 0.0
 
 
 def decide(b: Block) -> str:
-    """First pass: good, bad or undecided."""
-    if b.out or b.link_chars > (MAX_ARTICLE_LINK_DENSITY if b.section else MAX_LINK_DENSITY) * len(b.text):
+    """First pass: good, bad, undecided, or out: bad without a say about others."""
+    if b.out:
+        return "out"
+    if b.link_chars > (MAX_ARTICLE_LINK_DENSITY if b.section else MAX_LINK_DENSITY) * len(b.text):
         return "bad"
     if len(b.text) < MIN_LENGTH:
         return "bad" if not b.section and b.text[:1] in "©" else "undecided"
-    density = stop_density(b.text)
-    if density >= HIGH_STOPS:
+    words = _word.findall(b.text.lower())
+    if stop_density(words) >= HIGH_STOPS:
         return "good"
-    return "bad" if density < LOW_STOPS and not b.section else "undecided"
+    kinds = len(set(words))
+    return "out" if kinds < FEW_WORDS and kinds * 10 < len(words) and not b.section else "undecided"
 
 
 def label(found: list[Block]) -> None:
     """Both passes over a page's blocks."""
     for b in found:
         b.label = decide(b)
+    known = {b.section for b in found if b.label == "good"}
+    for b in found:
+        if b.label == "undecided" and b.section not in known and len(b.text) >= MIN_LENGTH:
+            b.label = "good"  # in a language without a list
     decided = [b.label for b in found]
     n = len(found)
     before, last = [0] * n, {}
     for i, b in enumerate(found):  # nearest decided block on either side, in the same section
         before[i] = last.get(b.section, -1)
-        if decided[i] != "undecided":
+        if decided[i] in ("good", "bad"):
             last[b.section] = i
     last = {}
     for i in range(n - 1, -1, -1):
         b = found[i]
         if decided[i] != "undecided":
-            last[b.section] = i
+            if decided[i] != "out":
+                last[b.section] = i
             continue
         prev, next_ = before[i], last.get(b.section, n)
         near, far = (i - prev if prev >= 0 else n + 1), (next_ - i if next_ < n else n + 1)
         sides = {decided[j] for j, d in ((prev, near), (next_, far)) if d <= n and d == min(near, far)}
-        b.label = sides.pop() if len(sides) == 1 else "good" if b.section else "bad"
+        b.label = sides.pop() if len(sides) == 1 else "good" if b.section or not sides else "bad"
         if b.section and b.label == "bad" and b.link_chars == 0:
             b.label = "good"  # menus and adverts of an article do not speak for its own text
 

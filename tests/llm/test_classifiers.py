@@ -140,6 +140,22 @@ def test_kneser_ney_keeps_clean(spark):
     assert np.mean(clean) > 0.97 and np.mean(junk) < 0.2
 
 
+def test_limits_of_languages(spark):
+    import zlib
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    trusted = {r.doc_id for r in labels.filter("quality = 1").collect()} - {r.doc_id for r in labels.filter("quality = 0").collect()}
+    rows = [(r, sum(r.n_bytes >= x for x in KN.BANDS)) for r in KN.quality(docs, labels).filter("perplexity is not null").collect()]
+    held = [(r.lang, b, math.log(r.perplexity)) for r, b in rows if r.doc_id in trusted and zlib.crc32(str(r.doc_id).encode()) % 4 == 3]
+    at = lambda x, q: sorted(x)[max(math.ceil(q * len(x)) - 1, 0)]
+    usual = {g: at([m for lang, _, m in held if lang == g], 0.5) for g in {x[0] for x in held}}
+    offset = {k: at([m - usual[g] for g, b, m in held if b == k], KN.QUANTILE) for k in {x[1] for x in held}}
+    own = {k: at([m - offset[b] for g, b, m in held if g == k], KN.QUANTILE) + KN.SLACK for k in usual}
+    assert len(own) == 4 and len(set(own.values())) == 4
+    for r, b in rows:
+        assert math.log(r.limit) == pytest.approx(own[r.lang] + offset.get(b, 0), abs=1e-6)
+
+
 def test_kneser_ney_odd(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (3, 1, 1), (8, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert KN.quality(odd_docs, labels).count() == odd_docs.count()

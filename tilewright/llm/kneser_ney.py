@@ -17,9 +17,12 @@ the text and not with its length.  Model and scores come from sharded tables:
    each document and window.
 
 A trusted document is labelled quality 1.  Three quarters of them train; the
-others give, for each language and band of lengths, the quantile of the mean
-negative log probability that is the limit there.  A band with few of them takes the limit
-of the band in all languages, then of the language, then of all.
+others give the limits of the mean negative log probability.  A band of lengths
+has one offset for all languages: the quantile of how far its documents lie
+above their language's median, as short ones spread more.  A language's limit is
+the quantile of its own documents less their offsets, whatever their number, and
+in a band the offset is added again.  A language without any takes the quantile
+of all, a band without any no offset.
 
 A null or empty text has no perplexity and is rejected.  Rows that repeat a
 doc_id are scored one by one; a null language is ``und``; without trusted rows
@@ -42,7 +45,6 @@ HOT = 1 << 19
 SLOT_BITS = 21
 QUANTILE = 0.995
 SLACK = 0.02
-ENOUGH = 100
 BANDS = (64, 256, 1024, 4096)
 HELD_OUT_OF = 4
 FILTER_BITS = 26
@@ -276,16 +278,13 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     free_shuffles(spark)
 
     known = scores.join(trusted.filter("held"), "doc_id", "left_semi").filter("mean is not null")
-    limit = F.percentile_approx("mean", quantile, 10_000) + SLACK
-
-    def limits(name: str, *keys: str) -> DataFrame:
-        return known.groupBy(*keys).agg(F.count("*").alias(f"{name}_n"), limit.alias(name))
-
+    limit = F.percentile_approx(F.col("mean") - F.col("offset"), quantile, 10_000) + SLACK
     # These tables have a row for each language and band at most.
-    out = scores.join(F.broadcast(limits("l1", "lang", "band")), ["lang", "band"], "left").join(F.broadcast(limits("l2", "band")), "band", "left")
-    out = out.join(F.broadcast(limits("l3", "lang")), "lang", "left").join(F.broadcast(known.agg(limit.alias("l4"))))
-    own = F.coalesce(F.when(F.col("l1_n") >= ENOUGH, F.col("l1")), F.when(F.col("l2_n") >= ENOUGH, F.col("l2")), F.when(F.col("l3_n") >= ENOUGH, F.col("l3")), F.col("l4"))
-    out = out.withColumn("own", own)
+    by_lang = F.broadcast(known.groupBy("lang").agg(F.percentile_approx("mean", 0.5, 10_000).alias("usual")))
+    offsets = F.broadcast(known.join(by_lang, "lang").groupBy("band").agg(F.percentile_approx(F.col("mean") - F.col("usual"), quantile, 10_000).alias("offset")))
+    known = known.join(offsets, "band")
+    out = scores.join(offsets, "band", "left").join(F.broadcast(known.groupBy("lang").agg(limit.alias("l1"))), "lang", "left").join(F.broadcast(known.agg(limit.alias("l2"))))
+    out = out.withColumn("own", F.coalesce("l1", "l2") + F.coalesce("offset", F.lit(0.0)))
     return out.select(
         "doc_id",
         "lang",

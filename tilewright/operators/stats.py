@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.operators.ranks import cumulated, ranked
+from tilewright.operators.tileset import numbered
 
-def picked_percentiles(samples: DataFrame, by: list[str], value: str, percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
-    """The sorted values' elements at index (n - 1) * p div 100 of each group.
 
-    Only rows at the wanted ranks leave the sort; the groups' sizes come from
-    the same window.
-    """
-    order = Window.partitionBy(*by).orderBy(value)
-    ranked = samples.withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*by)))
-    at = lambda p: F.max(F.when(F.col("i") == F.floor((F.col("n") - 1) * p / 100), F.col(value)))
-    return ranked.groupBy(*by).agg(F.max("n").alias("n"), *(at(p).alias(f"p{p}") for p in percents))
+def _picked(samples: DataFrame, by: list[str], value: str, at: dict[str, str]) -> DataFrame:
+    """Elements of each group's sorted values at the index that SQL of ``total``
+    gives, and n.  Values are counted before they are sorted, and a group's
+    distinct values may lie in all ranges of the sort."""
+    counts = samples.groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    c = cumulated(counts, by, "value")
+    here = lambda index: (F.col("before") <= F.expr(index)) & (F.expr(index) < F.col("before") + F.col("n"))
+    return c.groupBy(*by).agg(F.max("total").alias("n"), *(F.max(F.when(here(index), F.col("value"))).alias(name) for name, index in at.items()))
+
+
+def picked_percentiles(samples: DataFrame, by: list[str], value: str, percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
+    """The sorted values' elements at index (n - 1) * p div 100 of each group."""
+    return _picked(samples, by, value, {f"p{p}": f"(total - 1) * {p} div 100" for p in percents})
 
 
 def median_of_runs(runs: DataFrame, by: list[str], value: str) -> DataFrame:
     """Median of whole numbers; of an even number the lower middle one plus
     half the gap, rounded down."""
-    order = Window.partitionBy(*by).orderBy(value)
-    r = runs.withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*by)))
-    low = F.max(F.when(F.col("i") == F.expr("(n - 1) div 2"), F.col(value)))
-    high = F.max(F.when(F.col("i") == F.expr("n div 2"), F.col(value)))
-    return r.groupBy(*by).agg(low.alias("low"), high.alias("high")).select(*by, F.expr("low + (high - low) div 2").alias("median"))
+    ends = _picked(runs, by, value, {"low": "(total - 1) div 2", "high": "total div 2"})
+    return ends.select(*by, F.expr("low + (high - low) div 2").alias("median"))
 
 
 def zoom_quotas(available: DataFrame, target: int) -> DataFrame:
@@ -37,18 +40,16 @@ def zoom_quotas(available: DataFrame, target: int) -> DataFrame:
 
 
 def stratified_sample(tiles: DataFrame, quotas: DataFrame, seed: Column) -> DataFrame:
-    """Tiles of each zoom in a seeded pseudo-random order, as many as its quota."""
+    """Tiles of each zoom in a seeded pseudo-random order, as many as its quota.
+    The order is a distributed sort: the deepest zoom holds most tiles."""
     h = F.md5(F.concat_ws(":", seed, F.col("z"), F.col("x"), F.col("y")).cast("binary"))
-    order = Window.partitionBy("z").orderBy("h", "x", "y")
-    ranked = tiles.select("z", "x", "y", h.alias("h")).withColumn("r", F.row_number().over(order))
-    return ranked.join(quotas, "z").filter("r <= quota").select("z", "x", "y")
+    r = ranked(tiles.select("z", "x", "y", h.alias("h")), ["z"], ["h", "x", "y"])
+    return r.join(quotas, "z").filter("rank < quota").select("z", "x", "y")
 
 
 def corpus_order(keys: DataFrame, seed: Column) -> DataFrame:
     """Keys (z, x, y) with their rank in a seeded pseudo-random order; a key that
     occurs twice is an error."""
-    from tilewright.operators.tileset import numbered
-
     n = keys.groupBy("z", "x", "y").agg(F.count("*").alias("n"))
     one = F.when(F.col("n") == 1, F.col("z")).otherwise(F.raise_error(F.lit("a key occurs twice")).cast("int"))
     h = F.md5(F.concat_ws(":", seed, F.col("z"), F.col("x"), F.col("y")).cast("binary"))

@@ -9,13 +9,14 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import tiles as T
+from tilewright.operators.ranks import ranked
 from tilewright.shipping import ship
 
 #: Fixed values of the import batch rules.
@@ -24,39 +25,39 @@ SAMPLE_ROWS, HEADROOM, LEAST_TILE = 1024, 8, 16 << 10
 FIXED_MEMORY, ROW_OVERHEAD = 2 << 20, 768
 
 
-#: What tells payloads apart: two hashes and the length, 48 bytes, so that payloads need not be compared or moved.
+#: What tells payloads apart before their bytes are compared: two hashes and the length.
 SIGNATURE = ["sha", "hash", "size"]
 
 
 def _signed(tiles: DataFrame) -> DataFrame:
-    return tiles.select("*", F.unhex(F.sha2("data", 256)).alias("sha"), F.xxhash64("data").alias("hash"), F.octet_length("data").cast("long").alias("size"))
+    """Tiles with their payload's signature; a missing payload is one of its own."""
+    sha, size = F.coalesce(F.unhex(F.sha2("data", 256)), F.lit(b"")), F.coalesce(F.octet_length("data"), F.lit(-1))
+    return tiles.select("*", sha.alias("sha"), F.xxhash64("data").alias("hash"), size.cast("long").alias("size"))
 
 
-def content_ids(tiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+def content_ids(tiles: DataFrame, signed: Callable[[DataFrame], DataFrame] = _signed) -> tuple[DataFrame, DataFrame]:
     """(images, map): payloads numbered in base 36 by first place (z, x, y), and
     tiles with their payload's id.
 
-    Payloads are told apart by signature; a payload itself is shuffled once for
-    each task that holds it, and only for ``images``.  Numbers come from a
-    distributed sort: each range partition counts its payloads and starts after
-    those before it, so no task sees all payloads.
+    Payloads are grouped by signature and then by their bytes, so that two that
+    share a signature stay apart; each task sends a payload once.  Tiles find
+    their id by signature alone, but for those few whose signature several
+    payloads share: these compare bytes.  Tiles without data have an id too.
     """
-    signed = _signed(tiles)
-    first = signed.groupBy(*SIGNATURE).agg(F.min(F.struct("z", "x", "y")).alias("at"))
-    ids = numbered(first, "at").select(*SIGNATURE, F.lower(F.conv(F.col("n").cast("string"), 10, 36)).alias("tile_id"))
-    images = signed.groupBy(*SIGNATURE).agg(F.first("data").alias("data")).join(ids, SIGNATURE).select("tile_id", "data")
-    return images, signed.select("z", "x", "y", *SIGNATURE).join(ids, SIGNATURE).select("z", "x", "y", "tile_id")
+    own = signed(tiles)
+    payloads = own.groupBy(*SIGNATURE, "data").agg(F.min(F.struct("z", "x", "y")).alias("at"))
+    ids = numbered(payloads, "at").select(*SIGNATURE, "data", F.lower(F.conv(F.col("n").cast("string"), 10, 36)).alias("tile_id"))
+    keys = ids.groupBy(*SIGNATURE).agg(F.count("*").alias("payloads"), F.min("tile_id").alias("tile_id"))
+    alone = own.select("z", "x", "y", *SIGNATURE).join(keys.filter("payloads = 1"), SIGNATURE).select("z", "x", "y", "tile_id")
+    shared = keys.filter("payloads > 1").select(*SIGNATURE)
+    twins = ids.join(shared, SIGNATURE, "left_semi").withColumnRenamed("data", "twin")
+    apart = own.join(shared, SIGNATURE, "left_semi").join(twins, SIGNATURE).filter(F.col("data").eqNullSafe(F.col("twin")))
+    return ids.select("tile_id", "data"), alone.unionByName(apart.select("z", "x", "y", "tile_id"))
 
 
 def numbered(df: DataFrame, order: str, name: str = "n") -> DataFrame:
     """Rows numbered from 0 in the order of a column whose values differ."""
-    dealt = df.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__size"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    starts = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
-    own = Window.partitionBy("__part").orderBy(order)
-    out = dealt.withColumn("__own", F.row_number().over(own)).join(starts, "__part")
-    return out.withColumn(name, F.col("__start") + F.col("__own") - 1).drop("__part", "__own", "__start")
+    return ranked(df, [], [order], name)
 
 
 def dedup_stats(tiles: DataFrame) -> DataFrame:

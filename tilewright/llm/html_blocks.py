@@ -1,28 +1,37 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut at block-level tags.  First pass: a block inside a menu, footer,
-advert, form, comment section and the like is out; of the rest, link density,
-length and stop-word density decide good, bad or undecided.  Stop words only
-speak for a block: the lists do not cover every language, so a long block
-without them is undecided, and where no block of a section has them, its long
-blocks are good; a block that says fewer than ``FEW_WORDS`` words ten times over
-is no text.  Second pass: an undecided block takes the label of the nearest
-decided neighbours in its section, these and containers that are out not
-counted; between a good and a bad one at the same distance it is good inside an
-article and bad outside; with no decided neighbour it is good.
-
-Inside an explicit article only link density makes a block bad there: what an
-article says in few or strange words still belongs to it.  Pages are
-independent; a null or empty page has an empty text, and repeated rows give
-repeated results.  Other columns are not read.
+A page is cut at block-level tags.  First pass: link density, length and
+stop-word density class each block as good, bad, or undecided.
+
+- Links: more than ``MAX_LINK_DENSITY`` of its characters are bad; more than
+  ``LINKED`` leave a block undecided, whatever its words.
+- Length: a block under ``MIN_LENGTH`` characters is undecided; it is bad where
+  it opens with a copyright sign.
+- Stop words: a longer block with ``HIGH_STOPS`` of them is good; with fewer it
+  is undecided, for the lists do not cover every language.  Where a page has no
+  good block at all, its longer blocks are good.
+
+Second pass: an undecided block takes the label of its nearest decided
+neighbours, one on either side; where these differ, or none is decided, it is
+good, as nothing but what speaks against a block may drop it.
+
+Containers only remove: a block inside a menu, page header, footer, sidebar,
+notice, advert, form or comment section, as its tag, role or name says, is out
+and has no say about others.  An ``article`` or ``main`` changes no rule; it
+shows that a ``header`` or form around it is not the page's own.
+
+Pages are independent and cost time in proportion to their length, however
+damaged; a null or empty page has an empty text, and repeated rows give repeated
+results.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,13 +39,10 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.common import free_caches, prepare
 
-
-
 MIN_LENGTH = 70
-#: Share of a block's characters inside links, outside and inside an article.
-MAX_LINK_DENSITY, MAX_ARTICLE_LINK_DENSITY = 0.4, 0.8
+#: Shares of a block's characters inside links.
+MAX_LINK_DENSITY, LINKED = 0.8, 0.4
 HIGH_STOPS = 0.25
-FEW_WORDS = 20
 
 STOP_WORDS = {
     "en": "the of and to a in is it that for on with as was at by be this are from or an not have has had but they his her its you we i which will would there their been were if more when who can all one what so".split(),
@@ -63,24 +69,31 @@ HIDDEN_TAGS = frozenset("script style noscript template svg math iframe object a
 OUT_NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup login search widget widgets toolbar pagination pager skip copyright legal disclaimer".split()
 )
+#: Parts at the end of a name that only say what holds the content.
+HOLDERS = frozenset("area bar block box bottom col column container content group holder inner item items left link links list outer panel right row section slot top unit wrap wrapper".split())
+#: A name that begins so is out, whatever it goes on to name.
+OUT_FIRST = frozenset("related recommended sponsored promoted advertisement".split())
 HEADER_NAMES = frozenset("header masthead topbar".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
-_attribute = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+#: A tag ends at its ``>``; a quote opens a string only after ``=``; a ``<``
+#: outside of strings shows that the one before was no tag.
+_token = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>|<[!?][^<>]*+>", re.S)
+_attribute = re.compile(r"([a-zA-Z_:][-\w:.]*+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?")
+_ends = {t: re.compile(f"</{t}", re.I | re.A) for t in HIDDEN_TAGS}
 _name_part = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _word = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
 class Block:
-    """``section``: number of the enclosing article, 0 outside; ``out``: inside a container that is no main text."""
+    """``out``: inside a container that is no main text; ``by``: what gave the label."""
 
     text: str
     link_chars: int
     out: bool
-    section: int
-    label: str = field(default="")
+    label: str = ""
+    by: str = ""
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -88,15 +101,28 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _names(attrs: dict[str, str]) -> set[str]:
-    return {x.lower() for x in _name_part.findall(attrs.get("class", "") + " " + attrs.get("id", ""))}
+    """What the class names and the id name: of each its last part that is no
+    holder, and its first if that decides."""
+    out = set()
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        parts = [x.lower() for x in _name_part.findall(name)]
+        if parts and parts[0] in OUT_FIRST:
+            out.add(parts[0])
+        while len(parts) > 1 and parts[-1] in HOLDERS:
+            if parts[-1] == "content" and len(parts) > 2:
+                break  # ad-free-content names what it holds
+            parts.pop()
+        out.update(parts[-1:])
+    return out
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, white space collapsed, without empty ones."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # tag, out, out unless an article follows, section
-    now_out = now_soft = leaf_out = in_link = False
-    section = sections = breaks = 0
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, out, out unless an article follows, inside an article
+    opened: Counter[str] = Counter()  # tags of the stack
+    now_out = now_soft = leaf_out = in_link = in_article = False
+    breaks = 0
     parts: list[str] = []
     links: list[str] = []
 
@@ -104,11 +130,11 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, len(" ".join(html.unescape(" ".join(links)).split())), now_out or now_soft or leaf_out, section))
+                out.append(Block(text, len(" ".join(html.unescape(" ".join(links)).split())), now_out or now_soft or leaf_out))
             parts.clear()
             links.clear()
 
-    at, lower = 0, None
+    at, unclosed = 0, set()
     while at < len(page):
         m = _token.search(page, at)
         piece = page[at : m.start()] if m else page[at:]
@@ -126,9 +152,13 @@ def blocks(page: str) -> list[Block]:
         tag, closing = m[2].lower(), bool(m[1])
         if tag in HIDDEN_TAGS:
             if not closing and not m[3].endswith("/"):
-                lower = lower if lower is not None else page.lower()
-                end = lower.find(f"</{tag}", at)
-                at = end if end >= 0 else (len(page) if tag in ("script", "style") else at)
+                end = None if tag in unclosed else _ends[tag].search(page, at)
+                if end:
+                    at = end.start()
+                elif tag in ("script", "style"):
+                    at = len(page)
+                else:
+                    unclosed.add(tag)
             continue
         if tag == "a":
             in_link = not closing
@@ -144,10 +174,13 @@ def blocks(page: str) -> list[Block]:
             breaks = 0
             leaf_out = False
             if closing:
-                if tag in CONTAINERS and any(x[0] == tag for x in stack):
-                    while stack.pop()[0] != tag:
-                        pass
-                    _, now_out, now_soft, section = stack[-1] if stack else ("", False, False, 0)
+                if opened[tag]:
+                    while True:
+                        top = stack.pop()[0]
+                        opened[top] -= 1
+                        if top == tag:
+                            break
+                    _, now_out, now_soft, in_article = stack[-1] if stack else ("", False, False, False)
                 continue
             attrs = _attributes(m[3]) if m[3] else {}
             names = _names(attrs) if attrs else set()
@@ -158,19 +191,18 @@ def blocks(page: str) -> list[Block]:
             if tag in ("article", "main") or role == "main":
                 now_soft = False
                 bad = hidden or bool(names & {"comment", "comments", "reply"})
-                if not (now_out or bad) and not section:
-                    sections += 1
-                    section = sections
+                in_article = in_article or not (now_out or bad)
                 now_out = now_out or bad
             elif tag in CONTAINERS:
                 bad = hidden or tag in OUT_TAGS or bool(names & OUT_NAMES) or role in OUT_ROLES
-                bad = bad or not section and (tag == "header" or bool(names & HEADER_NAMES))
+                bad = bad or not in_article and (tag == "header" or bool(names & HEADER_NAMES))
                 now_out = now_out or bad
                 now_soft = now_soft or tag in FORM_TAGS
             else:
                 leaf_out = hidden or bool(names & OUT_NAMES) or role in OUT_ROLES
             if tag in CONTAINERS:
-                stack.append((tag, now_out, now_soft, section))
+                stack.append((tag, now_out, now_soft, in_article))
+                opened[tag] += 1
     flush()
     return out
 
@@ -180,49 +212,43 @@ def stop_density(words: list[str]) -> float:
     return max(sum(w in s for w in words) for s in STOPS) / len(words) if words else 0.0
 
 
-def decide(b: Block) -> str:
-    """First pass: good, bad, undecided, or out: bad without a say about others."""
-    if b.out:
-        return "out"
-    if b.link_chars > (MAX_ARTICLE_LINK_DENSITY if b.section else MAX_LINK_DENSITY) * len(b.text):
-        return "bad"
+def decide(b: Block) -> tuple[str, str]:
+    """First pass: good, bad or undecided, and by which rule."""
+    if b.link_chars > MAX_LINK_DENSITY * len(b.text):
+        return "bad", "links"
     if len(b.text) < MIN_LENGTH:
-        return "bad" if not b.section and b.text[:1] in "©" else "undecided"
-    words = _word.findall(b.text.lower())
-    if stop_density(words) >= HIGH_STOPS:
-        return "good"
-    kinds = len(set(words))
-    return "out" if kinds < FEW_WORDS and kinds * 10 < len(words) and not b.section else "undecided"
+        return ("bad", "length") if b.text[:1] == "©" else ("undecided", "")
+    if b.link_chars > LINKED * len(b.text):
+        return "undecided", ""
+    return ("good", "stops") if stop_density(_word.findall(b.text.lower())) >= HIGH_STOPS else ("undecided", "")
 
 
 def label(found: list[Block]) -> None:
     """Both passes over a page's blocks."""
     for b in found:
-        b.label = decide(b)
-    known = {b.section for b in found if b.label == "good"}
-    for b in found:
-        if b.label == "undecided" and b.section not in known and len(b.text) >= MIN_LENGTH:
-            b.label = "good"  # in a language without a list
-    decided = [b.label for b in found]
-    n = len(found)
-    before, last = [0] * n, {}
-    for i, b in enumerate(found):  # nearest decided block on either side, in the same section
-        before[i] = last.get(b.section, -1)
-        if decided[i] in ("good", "bad"):
-            last[b.section] = i
-    last = {}
+        b.label, b.by = decide(b)
+    own = [b for b in found if not b.out]
+    if not any(b.label == "good" for b in own):  # in a language without a list
+        for b in own:
+            if b.label == "undecided" and len(b.text) >= MIN_LENGTH and b.link_chars <= LINKED * len(b.text):
+                b.label, b.by = "good", "length"
+    first = [b.label for b in own]
+    n = len(own)
+    before, after, last = [""] * n, [""] * n, ""
+    for i in range(n):
+        before[i] = last
+        last = last if first[i] == "undecided" else first[i]
+    last = ""
     for i in range(n - 1, -1, -1):
-        b = found[i]
-        if decided[i] != "undecided":
-            if decided[i] != "out":
-                last[b.section] = i
-            continue
-        prev, next_ = before[i], last.get(b.section, n)
-        near, far = (i - prev if prev >= 0 else n + 1), (next_ - i if next_ < n else n + 1)
-        sides = {decided[j] for j, d in ((prev, near), (next_, far)) if d <= n and d == min(near, far)}
-        b.label = sides.pop() if len(sides) == 1 else "good" if b.section or not sides else "bad"
-        if b.section and b.label == "bad" and b.link_chars == 0:
-            b.label = "good"  # menus and adverts of an article do not speak for its own text
+        after[i] = last
+        last = last if first[i] == "undecided" else first[i]
+    for b, f, *sides in zip(own, first, before, after):
+        if f == "undecided":
+            b.label = "bad" if "bad" in sides and "good" not in sides else "good"
+            b.by = "neighbours" if any(sides) else "alone"
+    for b in found:
+        if b.out and b.label != "bad":
+            b.label, b.by = "bad", "container"
 
 
 def extract(page: str | None) -> tuple[str, int, int]:

@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.shared import clear_scratch, drop_path, saved, scratch, shared_dir  # noqa: F401
 from tilewright.shipping import ship
 
 #: Entries of a per-worker word cache; it is emptied beyond that, so its memory is bounded.
@@ -29,10 +26,6 @@ WINDOW_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BATCH_ROWS = 512
 ROWS_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROWS_READ = "spark.sql.parquet.columnarReaderBatchSize"
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-_local_dir: str | None = None
-
 
 def prepare(spark: SparkSession) -> None:
     """Ship the package, and bound the rows that Python gets and that the Parquet
@@ -47,57 +40,6 @@ def prepare(spark: SparkSession) -> None:
             spark.conf.set(name, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors share.
-
-    Where it is unset, a local session (tests) gets a temporary folder of its
-    own; on a cluster that is an error, as other machines could not see it.
-    """
-    global _local_dir
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="tilewright-")
-        atexit.register(shutil.rmtree, _local_dir, ignore_errors=True)
-    return "file://" + _local_dir
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/tilewright/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def saved(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts
-    lineage, so a lost executor costs no more than the tasks it was running.
-    The step's shuffle files go when it is done; nothing reads them again."""
-    spark = df.sparkSession
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
-        df.write.mode("overwrite").parquet(path)
-    finally:
-        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, *paths: str) -> None:
-    """Delete intermediate tables that nothing reads any more."""
-    for p in paths:
-        hp = spark._jvm.org.apache.hadoop.fs.Path(p)
-        hp.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hp, True)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete all that operators left in the shared folder.  Results that still
-    read from it (token stores, media shards, states) must be done with."""
-    drop_path(spark, f"{shared_dir(spark)}/tilewright")
-
-
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner remove shuffle files of finished steps now."""
     gc.collect()

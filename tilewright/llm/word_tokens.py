@@ -2,8 +2,9 @@
 
 Texts are cut where the library's own pre-tokenizer always cuts, the distinct
 words are encoded by the library in batches, and a text's ids are the
-concatenation of its words' ids.  A text where such a cut is not certain is
-encoded whole by the library.
+concatenation of its words' ids.  A text where such a cut is not certain, or
+that may hold a token added to the vocabulary (``<|endoftext|>`` and the like,
+which the library takes out of the text first), is encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -47,7 +48,9 @@ class WordTokenizer:
 
     def __init__(self, path: str, keep_space: bool, dtype: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Upper and lower case are one here: a normalizer may drop case before tokens are looked for.
+        self.added = re.compile("|".join(map(re.escape, added)), re.I) if added else None
         self.keep_space, self.dtype = keep_space, np.dtype(dtype)
         self.first: dict[str, bytes] = keep_cache({})
         self.later: dict[str, bytes] = keep_cache({}) if keep_space else self.first
@@ -130,7 +133,9 @@ class WordTokenizer:
             self.later.clear()
         heads, tails = set(), set()
         for t in texts:
-            if not self.keep_space:
+            if self.added and self.added.search(t):
+                p = None
+            elif not self.keep_space:
                 p = t.replace("\n", " ").split(" ")
                 tails.update(p)
             elif _two_spaces.search(t) or t[:1] == " ":

@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import random
 import zlib
@@ -24,7 +25,6 @@ def random_texts(n, seed=1):
 @pytest.mark.parametrize("name,keep,dtype", [("byte_bpe_50k.json", True, "<u4"), ("word_bpe_49k.json", False, "<u2")])
 def test_word_cache_equals_the_library(name, keep, dtype):
     own, lib = WordTokenizer(P.path(name), keep, dtype), Tokenizer.from_file(P.path(name))
-    lib.encode_special_tokens = True
     texts = random_texts(3000)
     for text, got in zip(texts, own.encode(texts)):
         assert np.frombuffer(got, dtype).tolist() == lib.encode(text, add_special_tokens=False).ids
@@ -42,6 +42,18 @@ def test_rans_round_trip(ids, lanes, steps, data):
     assert coder.decode(block, a, b).tolist() == ids[a:b].tolist()
 
 
+def test_added_tokens():
+    for name, keep, dtype in (("byte_bpe_50k.json", True, "<u4"), ("word_bpe_49k.json", False, "<u2")):
+        own, lib = WordTokenizer(P.path(name), keep, dtype), Tokenizer.from_file(P.path(name))
+        added = [t.content for t in lib.get_added_tokens_decoder().values()]
+        assert added
+        texts = [f"a {t} b" for t in added] + [f"x{t.upper()}y {t}{t}" for t in added]
+        for text, got in zip(texts, own.encode(texts)):
+            assert np.frombuffer(got, dtype).tolist() == lib.encode(text, add_special_tokens=False).ids
+        (special,) = {i for i, t in lib.get_added_tokens_decoder().items() if t.content == "<|endoftext|>"}
+        assert special in np.frombuffer(own.encode(["a <|endoftext|> b"])[0], dtype)
+
+
 def test_rans_size_and_damage():
     ids = np.random.default_rng(0).zipf(1.3, 200_000).clip(0, 5000).astype(np.uint32)
     counts = np.bincount(ids, minlength=5001)
@@ -57,7 +69,6 @@ def test_rans_size_and_damage():
 
 def expected_tokens(rows):
     lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    lib.encode_special_tokens = True
     out, at = [], 0
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = np.array(lib.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
@@ -112,43 +123,72 @@ def test_byte_bpe_of_nothing(no_docs):
 
 
 def check_packing(docs, pieces, capacity=1024):
+    """Every piece holds the library's ids, every id lies in one piece, and
+    sequences are gapless; the padding and all ids."""
     lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    lib.encode_special_tokens = True
-    want = sorted(zlib.crc32(np.array(lib.encode(r.text or "", add_special_tokens=False).ids + [0], "<u4").tobytes()) for r in docs.collect())
-    by_doc, by_seq = {}, {}
+    want, by_doc, by_seq = collections.Counter(), {}, {}
+    all_ids = {}
+    for r in docs.collect():
+        ids = np.array(lib.encode(r.text or "", add_special_tokens=False).ids + [0], "<u4")
+        want[r.doc_id, len(ids), zlib.crc32(ids.tobytes())] += 1
+        all_ids.setdefault((r.doc_id, len(ids)), []).append(ids)
     for p in pieces:
-        by_doc.setdefault(p.doc_id, []).append(p)
+        texts = all_ids[p.doc_id, p.doc_tokens]
+        assert any(p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes()) for ids in texts)
+        by_doc.setdefault((p.doc_id, p.doc_tokens), []).append(p)
         by_seq.setdefault(p.sequence_id, []).append(p)
+    assert by_doc.keys() == all_ids.keys()
+    for k, own in by_doc.items():
+        n = len(all_ids[k])  # repeated rows are packed once for each
+        cover = np.zeros(k[1] + 1, int)
+        for p in own:
+            cover[p.start] += 1
+            cover[p.start + p.length] -= 1
+        assert (np.cumsum(cover)[:-1] == n).all()
     for own in by_seq.values():
         own.sort(key=lambda p: p.offset)
         at = 0
         for p in own:
-            assert p.offset == at
+            assert p.offset == at and p.length > 0
             at += p.length
         assert at <= capacity
-    total = sum(p.length for p in pieces)
-    assert total == sum(len(lib.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
-    padded = sum(capacity - n for n in (sum(p.length for p in s) for s in by_seq.values()) if n & (n - 1))
-    return want, padded, total
+    sizes = [sum(p.length for p in s) for s in by_seq.values()]
+    return sum(capacity - n for n in sizes if n & (n - 1)), sum(sizes)
 
 
 def test_packing(spark, odd_docs):
     pieces = packing.pack(odd_docs, P.path("byte_bpe_50k.json"), 0).collect()
-    _, padded, total = check_packing(odd_docs, pieces)
-    assert padded <= 0.02 * total
-    whole = [p for p in pieces if p.length == p.doc_tokens and p.doc_id == 10]
-    assert len(whole) == 2 and all(p.start == 0 for p in whole)
-    long = sorted((p for p in pieces if p.doc_id == 8), key=lambda p: p.start)
-    assert [p.start for p in long] == np.concatenate([[0], np.cumsum([p.length for p in long])[:-1]]).tolist()
+    padded, total = check_packing(odd_docs, pieces)
+    assert padded <= 0.01 * total
+    whole = [p for p in pieces if p.doc_id == 10]
+    assert len(whole) == 2 and all(p.start == 0 and p.length == p.doc_tokens for p in whole)
+
+
+def test_packing_of_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pieces = packing.pack(docs, P.path("byte_bpe_50k.json"), 0).collect()
+    padded, total = check_packing(docs, pieces)
+    assert padded <= 0.01 * total
+    assert len(pieces) < docs.count() * 1.5 + total / 1024
+
+
+@given(st.lists(st.integers(1, 300), max_size=60), st.sampled_from([1, 2, 64, 128]))
+def test_bins(lengths, capacity):
+    bins = packing.Bins(0, capacity)
+    for doc, n in enumerate(lengths):
+        bins.add(doc, np.full(n, doc, "<u4"))
+        assert len(bins.waiting) <= 1
+    bins.finish()
+    got, fill = collections.Counter(), collections.Counter()
+    for doc, start, n, _, total, seq, offset in bins.out:
+        assert offset == fill[seq] and total == lengths[doc]
+        got.update((doc, start + i) for i in range(n))
+        fill[seq] += n
+    assert got == collections.Counter((d, i) for d, n in enumerate(lengths) for i in range(n))
+    assert all(n <= capacity and (capacity - n <= capacity / 128 or n & (n - 1) == 0) for n in fill.values())
 
 
 def test_packing_of_nothing(no_docs):
     assert packing.pack(no_docs, P.path("byte_bpe_50k.json"), 0).count() == 0
     with pytest.raises(ValueError):
         packing.pack(no_docs, P.path("byte_bpe_50k.json"), 0, capacity=1000)
-
-
-@given(st.integers(1, 10_000))
-def test_cut(n):
-    c = packing.cut(n, 1024)
-    assert sum(c) == n and all(x == 1024 or x < 64 or x & (x - 1) == 0 for x in c)

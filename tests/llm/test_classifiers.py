@@ -46,6 +46,59 @@ def test_language_brute_force():
     assert model.predict(None) == model.predict("12 ### !") == ("und", 0.0)
 
 
+def test_training_brute_force(spark):
+    """Profiles, predictions and scores of a table with dicts and strings alone."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+
+    def counted(text):
+        c = collections.Counter()
+        words = [w.lower() for w in re.findall(r"[^\W\d_]+", text.lower())]
+        for w in words:
+            c.update(w)
+            c.update(w[i : i + 2] for i in range(len(w) - 1))
+            p = " " + w + " "
+            c.update(p[i : i + 3] for i in range(len(p) - 2))
+        c.update(" " + w[0] for w in words)  # the blank before the first word, and between two
+        c.update(w[-1] + " " for w in words)
+        return c
+
+    def order(c, size):
+        key = lambda g: [1 if ch == " " else ord(ch) for ch in g]
+        code = lambda g: sum(v << 21 * (len(g) - 1 - i) for i, v in enumerate(key(g)))
+        return [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], code(x[0])))[:size]]
+
+    import zlib
+
+    by = collections.defaultdict(collections.Counter)
+    for r in rows:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            by[r.lang].update(counted(r.text))
+    slow = {lang: {g: i for i, g in enumerate(order(c, langid.PROFILE_SIZE))} for lang, c in by.items()}
+    from tilewright.llm import queries
+
+    got = {r.doc_id: r for r in queries.op6_language_id(spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        x = got[r.doc_id]
+        assert x.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        own = order(counted(r.text or ""), langid.DOC_GRAMS)
+        if not own:
+            assert (x.lang_pred, x.score) == ("und", 0.0)
+            continue
+        d = {lang: sum(abs(i - p[g]) if g in p else langid.PROFILE_SIZE for i, g in enumerate(own)) for lang, p in slow.items()}
+        best = min(sorted(d), key=d.get)
+        assert x.lang_pred == best and x.score == pytest.approx(1 - d[best] / (langid.PROFILE_SIZE * len(own)))
+
+
+def test_held_out_without_id(spark, tmp_path):
+    from tilewright.llm import queries
+
+    rows = [(None, "the cat and the dog", "en"), (1, "der Hund und die Katze", "de"), (2, "the house and the cat", "en"), (4, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.held_out for r in queries.op6_language_id(spark, str(tmp_path)).collect()}
+    assert got[None] is False and all(v in (True, False) for v in got.values()) and len(got) == 4
+
+
 def test_language_odd(spark, odd_docs, no_docs):
     profiles = langid.train(odd_docs)
     got = {r.doc_id: r for r in langid.identify(odd_docs, profiles, keep=("gram", "n")).collect()}

@@ -9,8 +9,9 @@ Training counts are gathered in each task, then summed by (language, n-gram);
 what reaches the driver is languages x ``profile_size`` rows.  A text that is
 null or has no letter is ``und`` with score 0; with no training rows every
 text is ``und``.  Ties in counts go by the n-gram's code points, ties between
-languages by name.  Rows are independent of each other; columns besides the
-named ones are not read.
+languages by name.  A row without an id has no remainder: it is neither learned
+from nor held out.  Rows are independent of each other; columns besides the named
+ones are not read.
 """
 
 from __future__ import annotations
@@ -147,5 +148,6 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc
 
 
 def fold(id_col: str = "doc_id"):
-    """crc32 of the id as text, modulo 4; remainder 2 is held out of training."""
+    """crc32 of the id as text, modulo 4; remainder 2 is held out of training.
+    Null without an id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4

@@ -36,9 +36,10 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", langid.fold() == 2)
-    profiles = langid.train(docs.filter(~F.col("held_out")))
-    return langid.identify(docs, profiles, keep=("held_out",))
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    profiles = langid.train(docs.filter(langid.fold() != 2))
+    held_out = F.coalesce(langid.fold() == 2, F.lit(False))
+    return langid.identify(docs.withColumn("held_out", held_out), profiles, keep=("held_out",))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

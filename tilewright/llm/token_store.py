@@ -202,7 +202,7 @@ def read_store(manifest: DataFrame) -> DataFrame:
                 ids = pa.array(s.doc_ids, pa.int64(), mask=s.doc_ids == NO_ID)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(starts), pa.array(s.sizes), pa.array(crcs)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.select("path", "base").repartition(n, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.select("path", "base").repartitionByRange(n, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def store_documents(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int, path: str | None = None) -> DataFrame:

@@ -162,7 +162,8 @@ def test_media(spark, odd_docs, no_docs, tmp_path):
         with tarfile.open(p.shard.removeprefix("file://")) as t:
             m = t.getmember(bytes(p.digest).hex() + ".png")
             assert (m.offset_data, m.size) == (p.offset, p.length)
-    assert media.header_columns(media.addressed(rows)).filter("width <> 64").count() == 0
+    heads = media.header_columns(rows).collect()
+    assert len(heads) == odd_docs.count() and all(h.width == 64 and h.bits == 8 for h in heads)
     texts = {}
     for r in odd_docs.collect():
         texts.setdefault(r.doc_id, set()).add(r.text)
@@ -173,6 +174,7 @@ def test_media(spark, odd_docs, no_docs, tmp_path):
         p = media.payload((text or "").encode())
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((text or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
         assert r.media_sha256 == hashlib.sha256(media.to_image(p)).hexdigest() and r.feature == media.feature(p)
+        assert (r.width, r.height * 64) == (64, r.payload_bytes)
     assert media.media_columns(no_docs).count() == 0
 
 

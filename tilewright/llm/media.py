@@ -3,9 +3,13 @@
 A text's payload (its UTF-8 bytes, zero bytes up to a positive multiple of 64)
 is stored losslessly as a grey 8-bit PNG image of 64 columns.  Each task writes
 tar shards whose members are named by the payload's SHA-256, once for each
-payload; rows carry digest, shard, offset and length.  Where several tasks hold
-the same payload, all rows point to the first shard's copy.  Metadata columns
-come from reading the image header alone, at its place in the shard.
+payload; rows carry digest, shard, offset and length of the copy that their own
+task wrote.  So no row looks for its payload, and copies that a third of all
+rows share are read in as many tasks as wrote them.  ``addressed`` gives the one
+place of each payload over all shards.
+
+Metadata columns come from reading the image header alone, at its place in the
+shard; the columns of the content then come from the rest.
 
 A shard is written to a temporary name and renamed, so a repeated or lost task
 does no harm.  A null text counts as empty: 64 zero bytes.  Repeated rows share
@@ -33,7 +37,8 @@ from tilewright.llm.common import free_caches, prepare, saved, scratch, text_byt
 
 WIDTH = 64
 SHARD_BYTES = 256 << 20
-STRIPE_BYTES = 4 << 20
+#: Stored bytes that one task reads back.
+READ_BYTES = 64 << 20
 HEADER_BYTES = 33
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -146,53 +151,72 @@ def addressed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
 
 
-def header_columns(places: DataFrame) -> DataFrame:
-    """Width, height and bits of each payload, by range reads of the headers."""
-    return _read(places, HEADER_BYTES, "digest binary, width int, height int, bits int", lambda d, x, n: (d, *header(x)))
+HEADER = "width int, height int, bits int"
+CONTENT = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def _header(read, length: int) -> tuple:
+    return header(read(0, min(HEADER_BYTES, length)))
+
 
+def _content(read, length: int, digest: bytes) -> tuple:
+    image = read(0, length)
+    samples = from_image(image)
+    own = hashlib.sha256(samples)
+    if own.digest() != digest:
+        raise ValueError("a payload does not have its address")
+    return (len(samples), own.hexdigest(), zlib.crc32(samples[-WIDTH:]), length, hashlib.sha256(image).hexdigest(), feature(samples))
 
-def content_columns(places: DataFrame) -> DataFrame:
-    """Digests and features of each payload, read back whole."""
-    schema = "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    def columns(digest: bytes, image: bytes, n: int) -> tuple:
-        samples = from_image(image)
-        own = hashlib.sha256(samples)
-        if own.digest() != digest:
-            raise ValueError("a payload does not have its address")
-        return (digest, len(samples), own.hexdigest(), zlib.crc32(samples[-WIDTH:]), n, hashlib.sha256(image).hexdigest(), feature(samples))
+def header_columns(rows: DataFrame) -> DataFrame:
+    """The rows with width, height and bits, by range reads of the headers."""
+    return _read(rows, HEADER, lambda read, length, digest: _header(read, length))
 
-    return _read(places, None, schema, columns)
 
+def content_columns(rows: DataFrame) -> DataFrame:
+    """The rows with the header's columns and, from the payload read back whole,
+    its sizes, digests and feature."""
+    return _read(rows, f"{HEADER}, {CONTENT}", lambda read, length, digest: (*_header(read, length), *_content(read, length, digest)))
 
-def _read(places: DataFrame, most: int | None, schema: str, columns) -> DataFrame:
-    prepare(places.sparkSession)
-    names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [{"binary": pa.binary(), "int": pa.int32(), "long": pa.int64(), "string": pa.string()}[x.split()[1]] for x in schema.split(", ")]
+
+def _read(rows: DataFrame, schema: str, columns) -> DataFrame:
+    """``rows`` (digest, shard, offset, length and others) with the columns that
+    ``columns`` reads at each place.  Rows are dealt in order of their places by
+    a range sort, a task for each ``READ_BYTES``, so a shard is read forwards and
+    a payload once for all rows of a task that have it."""
+    spark = rows.sparkSession
+    prepare(spark)
+    kinds = {"binary": pa.binary(), "int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+    fields = [x.split() for x in schema.split(", ")]
+    total = rows.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // READ_BYTES + 1)
+    near = rows.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
+    names = near.columns
+    place = [names.index(c) for c in ("shard", "offset", "length", "digest")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_caches()
-        name, file = None, None
+        name = file = last = None
+        values: tuple = ()
         for b in batches:
-            rows = []
-            for digest, shard, offset, length in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if shard != name:
-                    where, own = fs.FileSystem.from_uri(shard)
-                    name, file = shard, where.open_input_file(own)
-                rows.append(columns(digest, file.read_at(length if most is None else min(most, length), offset), length))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(kinds), kinds)], names=names)
-
-    stripe = (F.col("offset") / STRIPE_BYTES).cast("long")
-    near = places.repartition("shard", stripe).sortWithinPartitions("shard", "offset")
-    return near.select("digest", "shard", "offset", "length").mapInArrow(run, schema)
+            out = []
+            for shard, offset, length, digest in zip(*(b.column(i).to_pylist() for i in place)):
+                if (shard, offset) != last:
+                    if shard != name:
+                        where, own = fs.FileSystem.from_uri(shard)
+                        name, file = shard, where.open_input_file(own)
+                    values = columns(lambda at, n, base=offset: file.read_at(n, base + at), length, digest)
+                    last = (shard, offset)
+                out.append(values)
+            cols = list(zip(*out)) or [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields))], names=[*names, *(n for n, _ in fields)])
+
+    own = ", ".join(f"`{c}` {t}" for c, t in near.dtypes)
+    return near.mapInArrow(run, f"{own}, {schema}")
 
 
 def media_columns(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document with its payload's place, digests and features."""
+    """A row for each document with its payload's columns."""
     path = path or scratch(docs.sparkSession, "media")
-    rows = write_shards(docs, path, id_col, text_col)
-    places = saved(addressed(rows), f"{path}/places")
-    columns = header_columns(places).join(content_columns(places), "digest")
-    return rows.select("doc_id", "n_bytes", "digest").join(columns, "digest").select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"
-    )
+    read = content_columns(write_shards(docs, path, id_col, text_col))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 
 from tilewright.llm import setsketch, substring
 from tilewright.llm.components import components
@@ -53,7 +54,57 @@ def variants(seed, groups=12, copies=7):
 def test_near_duplicates(spark, seed):
     rows = variants(seed)
     got = setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {tuple(r) for r in got.collect()} == near_truth(rows)
+    assert {tuple(r)[:4] for r in got.collect()} == near_truth(rows)
+
+
+def template(seed, n=90, words=60):
+    """Fillings of one template: most pairs share a bucket and few are alike enough."""
+    r = random.Random(seed)
+    base = [f"t{i}" for i in range(words)]
+    rows = []
+    for d in range(n):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 2, 2, 3, 3])):
+            w[r.randrange(words)] = f"f{r.randrange(10**6)}"
+        rows.append((d, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("rows_,elements", [(1 << 12, 1 << 22), (7, 1 << 22), (1 << 12, 700)])
+def test_large_buckets(spark, monkeypatch, rows_, elements):
+    monkeypatch.setattr(setsketch, "SMALL_BUCKET", 3)
+    monkeypatch.setattr(setsketch, "STAR_LINKS", 0)  # nothing is joined before
+    monkeypatch.setattr(setsketch, "BLOCK_ROWS", rows_)
+    monkeypatch.setattr(setsketch, "BLOCK_ELEMENTS", elements)
+    rows = template(rows_)
+    got = setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {tuple(r)[:4] for r in got.collect()} == near_truth(rows)
+
+
+def test_shared_counts():
+    r = np.random.default_rng(2)
+    x, y = ([np.unique(np.concatenate([np.arange(r.integers(0, 40)), r.integers(0, 900, r.integers(0, 60))])) for _ in range(n)] for n in (50, 70))
+    assert (setsketch.shared_counts(x, y) == [[len(np.intersect1d(a, b)) for b in y] for a in x]).all()
+    reps, groups = np.arange(120) * 3, np.arange(120)
+    sets = [np.arange(30) + k // 40 * 1000 for k in range(120)]
+    for blocks in (np.zeros(120, int), np.arange(120) % 2):
+        a, b = setsketch.block_links(reps, groups, sets, blocks, 75)
+        up = {int(v): int(v) for v in reps}
+        for p, q in zip(a.tolist(), b.tolist()):
+            assert p // 120 == q // 120
+            while up[p] != p:
+                p = up[p]
+            while up[q] != q:
+                q = up[q]
+            up[max(p, q)] = min(p, q)
+        assert sum(k == v for k, v in up.items()) == 3 and len(a) < 400
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    text = lambda k: " ".join(f"r{k}_{i}" for i in range(40))
+    rows = [(5, text(1)), (5, text(2)), (3, text(1)), (9, text(2) + " x"), (12, text(3)), (12, text(3)), (13, text(4)), (13, text(5)), (20, text(5))]
+    got = {(r.doc_id, r.component_id) for r in setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 3), (3, 3), (9, 3), (12, 12), (13, 13), (20, 13)}
 
 
 def test_near_duplicates_odd(spark, odd_docs, no_docs):
@@ -106,14 +157,15 @@ def test_components(spark):
 
 
 def substring_truth(rows, n=20):
-    """Windows in order of (doc_id, start); rows of one doc_id are one place."""
+    """Windows in order of (doc_id, hash of the text, start); rows that repeat
+    doc_id and text are one document."""
     seen, out = {}, []
-    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+    for doc, h, text in sorted(((d, xxhash.xxh64_intdigest((t or "").encode(), 42), t) for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] - (r[1] >> 63 << 64))):
         w = WORD.findall(text or "")
         gone = [False] * len(w)
         for i in range(len(w) - n + 1):
-            at = seen.setdefault(tuple(w[i : i + n]), (doc, i))
-            if at != (doc, i):
+            at = seen.setdefault(tuple(w[i : i + n]), (doc, h, i))
+            if at != (doc, h, i):
                 gone[i : i + n] = [True] * n
         kept = [x for x, g in zip(w, gone) if not g]
         out.append((doc, len(w), sum(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
@@ -141,6 +193,23 @@ def test_substring(spark, first_words):
     assert sorted((tuple(r) for r in got.collect()), key=str) == substring_truth(rows)
 
 
+def test_substring_of_repeated_ids(spark):
+    """Ids that stand on two texts, copies of the second under other ids, rows without id."""
+    r = random.Random(8)
+    text = lambda k: " ".join(f"p{k}_{i}" for i in range(22 + k % 5))
+    rows = []
+    for i in range(300):
+        rows += [(i, text(2 * i)), (i, text(2 * i + 1)), (1000 + i, text(2 * i + 1))]
+    rows += [(None, text(5000 + i % 7)) for i in range(20)] + [(2000 + i, text(5000 + i)) for i in range(7)]
+    rows += [(3000, text(6000)), (3000, text(6000)), (3000, text(6000) + " " + text(1))]
+    r.shuffle(rows)
+    got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    got = sorted((tuple(x) for x in got.collect()), key=str)
+    assert got == substring_truth(rows)
+    removed = {x[0]: x[2] for x in got}
+    assert all(removed[1000 + i] == 22 + (2 * i + 1) % 5 for i in range(300)) and all(removed[2000 + i] for i in range(7))
+
+
 def test_substring_odd(spark, odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got = substring.substring_dedup(odd_docs, keep=("lang", "gram", "n", "row"), with_text=True)

@@ -18,9 +18,11 @@ occurrences come back to their documents.  Counting is by hash with partial
 sums, so a passage that a third of the documents share is one row a task.
 
 Words are runs of other bytes than ASCII white space.  A null or empty text has
-none.  Fewer than ``min_words`` words are never removed.  Rows that repeat a
-doc_id count as one place: they remove nothing from each other.  A null doc_id
-comes before all others.  Other columns are not read.
+none.  Fewer than ``min_words`` words are never removed.  A null doc_id comes
+before all others.  Rows that share a doc_id, or have none, are told apart and
+ordered by a hash of their text (``row``; 0 for all where each has an id of its
+own); rows that repeat a text under one doc_id are one document and remove
+nothing from each other.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -74,56 +76,62 @@ def _state_columns(levels: list[int]) -> list[str]:
 
 def _with_state(src: DataFrame, states: list[tuple[str, DataFrame]]) -> DataFrame:
     for _, state in states:
-        src = src.join(state, "doc_id", "left")
+        src = src.join(state, ["doc_id", "row"], "left")
     return src
 
 
 def _level(src: DataFrame, done: list[int], states: list, length: int, min_words: int) -> DataFrame:
-    """(doc_id, single_N): the document's named windows that occur but once."""
+    """(doc_id, row, single_N): the document's named windows that occur but once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_caches()
         cache = WordHashes()
         for b in small_batches(batches, "b", 4 << 20):
-            docs, places, hashes = [], [], []
-            for i, doc in enumerate(b.column(0).to_pylist()):
-                h = cache.of((b.column(1)[i].as_py() or b"").split())
-                alive = candidates(h, done, [b.column(2 + j)[i].as_py() or () for j in range(len(done))], min_words)
+            docs, own, places, hashes = [], [], [], []
+            for i, (doc, row) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                h = cache.of((b.column(2)[i].as_py() or b"").split())
+                alive = candidates(h, done, [b.column(3 + j)[i].as_py() or () for j in range(len(done))], min_words)
                 if alive.any():
                     at = np.unique(named(h, length, min_words)[alive])
                     docs.append(np.full(len(at), doc))
+                    own.append(np.full(len(at), row))
                     places.append(at)
                     hashes.append(mixed(window_hashes(h, length))[at].view(np.int64))
             if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(places).astype(np.int32))], names=["h", "doc_id", "place"])
+                columns = [np.concatenate(x) for x in (hashes, docs, own, places)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns[:3], columns[3].astype(np.int32))], names=["h", "doc_id", "row", "place"])
 
-    rows = _with_state(src, states).mapInArrow(run, "h long, doc_id long, place int")
-    once = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min("place").alias("place")).filter("n = 1")
-    return once.groupBy("doc_id").agg(F.collect_list("place").alias(f"single_{length}"))
+    rows = _with_state(src, states).mapInArrow(run, "h long, doc_id long, row long, place int")
+    once = rows.groupBy("h").agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("doc_id", "row", "place"))).filter("n = 1")
+    return once.groupBy("doc_id", "row").agg(F.collect_list("place").alias(f"single_{length}"))
 
 
-def _firsts(src: DataFrame, levels: list[int], states: list, min_words: int) -> DataFrame:
-    """(doc_id, firsts): hashes of candidate windows that occur in no earlier document."""
+def _firsts(src: DataFrame, levels: list[int], states: list, min_words: int, alone: bool) -> DataFrame:
+    """(doc_id, row, firsts): hashes of candidate windows that occur in no
+    earlier document.  ``alone``: each row has a doc_id of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_caches()
         cache = WordHashes()
         for b in small_batches(batches, "b", 4 << 20):
-            docs, high, low = [], [], []
-            for i, doc in enumerate(b.column(0).to_pylist()):
-                h = cache.of((b.column(1)[i].as_py() or b"").split())
-                alive = candidates(h, levels, [b.column(2 + j)[i].as_py() or () for j in range(len(levels))], min_words)
+            docs, own, high, low = [], [], [], []
+            for i, (doc, row) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                h = cache.of((b.column(2)[i].as_py() or b"").split())
+                alive = candidates(h, levels, [b.column(3 + j)[i].as_py() or () for j in range(len(levels))], min_words)
                 if alive.any():
                     one, at = np.unique(window_hashes(h, min_words)[alive], return_index=True)
                     docs.append(np.full(len(one), doc))
+                    own.append(np.full(len(one), row))
                     high.append(one.view(np.int64))
                     # A second hash, so that chance equality of 64 bits decides nothing.
                     low.append((mixed(window_hashes(mixed(h), min_words))[np.flatnonzero(alive)[at]] >> np.uint64(33)).astype(np.int32))
             if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (high, low, docs)], names=["h", "g", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (high, low, docs, own)], names=["h", "g", "doc_id", "row"])
 
-    rows = _with_state(src, states).mapInArrow(run, "h long, g int, doc_id long")
-    return rows.groupBy("h", "g").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("h").alias("firsts"))
+    rows = _with_state(src, states).mapInArrow(run, "h long, g int, doc_id long, row long").groupBy("h", "g")
+    # Two numbers are aggregated by hash, a struct of them by a sort.
+    first = rows.agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row")) if alone else rows.agg(F.min(F.struct("doc_id", "row")).alias("at")).select("h", "at.*")
+    return first.groupBy("doc_id", "row").agg(F.collect_list("h").alias("firsts"))
 
 
 def repeated(h: np.ndarray, alive: np.ndarray, firsts, min_words: int) -> np.ndarray:
@@ -159,7 +167,10 @@ def substring_dedup(docs: DataFrame, min_words: int = 20, first_words: int = 10,
     spark = docs.sparkSession
     prepare(spark)
     levels = levels_of(min_words, first_words)
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), text_bytes(docs, text_col).alias("b"))
+    doc_id = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    alone = docs.groupBy(doc_id.alias("doc_id")).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | (F.col("doc_id") == NO_ID)).isEmpty()
+    identity = [doc_id.alias("doc_id"), (F.lit(0).cast("long") if alone else F.xxhash64(text_bytes(docs, text_col))).alias("row"), text_bytes(docs, text_col).alias("b")]
+    src = docs.select(*identity)
     states: list[tuple[str, DataFrame]] = []
     paths = []
     for k, length in enumerate(levels):
@@ -167,7 +178,7 @@ def substring_dedup(docs: DataFrame, min_words: int = 20, first_words: int = 10,
         states.append((paths[-1], saved(_level(src, levels[:k], states, length, min_words), paths[-1])))
         free_shuffles(spark)
     paths.append(scratch(spark, "firsts"))
-    firsts = saved(_firsts(src, levels, states, min_words), paths[-1])
+    firsts = saved(_firsts(src, levels, states, min_words, alone), paths[-1])
     free_shuffles(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,10 +188,10 @@ def substring_dedup(docs: DataFrame, min_words: int = 20, first_words: int = 10,
         for b in batches:
             rows = []
             for i in range(b.num_rows):
-                data = b.column(1)[i].as_py() or b""
+                data = b.column(2)[i].as_py() or b""
                 words = data.split()
                 h = cache.of(words)
-                state = [b.column(2 + n_keep + j)[i].as_py() or () for j in range(len(levels) + 1)]
+                state = [b.column(3 + n_keep + j)[i].as_py() or () for j in range(len(levels) + 1)]
                 gone = repeated(h, candidates(h, levels, state[:-1], min_words), state[-1], min_words)
                 n = int(np.count_nonzero(gone))
                 kept = b" ".join(words if not n else [w for w, g in zip(words, gone.tolist()) if not g])
@@ -192,12 +203,12 @@ def substring_dedup(docs: DataFrame, min_words: int = 20, first_words: int = 10,
             if with_text:
                 out.append(pa.array(cols[3], pa.binary()))
                 names.append("kept_text")
-            yield pa.RecordBatch.from_arrays([*out, *(b.column(2 + j) for j in range(n_keep))], names=[*names, *(f"keep_{c}" for c in keep)])
+            yield pa.RecordBatch.from_arrays([*out, *(b.column(3 + j) for j in range(n_keep))], names=[*names, *(f"keep_{c}" for c in keep)])
 
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), text_bytes(docs, text_col).alias("b"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    own = docs.select(*identity, *(F.col(c).alias(f"keep_{c}") for c in keep))
     kinds = dict(own.dtypes)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text binary" * with_text + "".join(f", `keep_{c}` {kinds[f'keep_{c}']}" for c in keep)
-    joined = _with_state(own, states).join(firsts, "doc_id", "left")
+    joined = _with_state(own, states).join(firsts, ["doc_id", "row"], "left")
     result = joined.mapInArrow(run, schema).withColumnsRenamed({f"keep_{c}": c for c in keep})
     if with_text:
         result = result.withColumn("kept_text", F.col("kept_text").cast("string"))

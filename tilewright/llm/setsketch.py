@@ -14,16 +14,21 @@ registers are as likely as the sets are alike.
    found.
 3. Pairs of a bucket whose classes are still in different components are
    compared inside the join, by short digests of their registers and then by
-   the whole sets, so that nothing but links leaves it.  Together, no pair that
-   shares a bucket is left out: it is either connected or was compared.
+   the whole sets, so that nothing but links leaves it.  A bucket of more than
+   ``SMALL_BUCKET`` such classes (a template whose fillings are not alike enough)
+   is dealt out as pairs of blocks of bounded rows and elements, each a task's
+   group, where all intersections of two blocks are counted at once.  Together,
+   no pair that shares a bucket is left out: it is either connected or was
+   compared.
 
 With 48 bands of 5 registers a pair of similarity 0.75 shares no bucket with
 probability 2.3e-6, one of 0.8 with 5e-9.  The filters by digests and likelihood
 reject a link of 0.75 only beyond five standard deviations (3e-7).
 
 A text without words, a null text and a row without doc_id are linked with
-nothing.  Rows that repeat a doc_id are told apart by their sets.  Other
-columns are not read.
+nothing.  Rows that repeat a doc_id are one node: it has the links of all of
+them, and each row its own set's size.  ``row`` is a hash of the row's text, by
+which rows of one doc_id can be told apart.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -48,6 +53,9 @@ DIGEST_BITS = 4
 WORDS = -(-REGISTERS * DIGEST_BITS // 64)
 SIGMAS = 5
 STAR_LINKS = 3
+#: Classes of a bucket beyond which it is compared in blocks, and what a block holds at most, nearly.
+SMALL_BUCKET = 256
+BLOCK_ROWS, BLOCK_ELEMENTS = 2048, 1 << 22
 
 
 def multipliers(n: int = REGISTERS) -> np.ndarray:
@@ -114,7 +122,8 @@ def _slack(share: float, n: int) -> float:
 
 
 def sketched(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, fp, sketch): set size, 128-bit digest of the set, registers."""
+    """(doc_id, row, n, fp, sketch): hash of the text, set size, 128-bit digest of
+    the set, registers."""
     factors = multipliers()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,10 +136,10 @@ def sketched(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
                 n.append(len(s))
                 fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sk.append(registers(s, factors).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sk, pa.binary())], names=["doc_id", "n", "fp", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sk, pa.binary())], names=["doc_id", "row", "n", "fp", "sketch"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(docs, text_col).alias("b"))
-    return src.mapInArrow(run, "doc_id long, n long, fp binary, sketch binary")
+    b = text_bytes(docs, text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), b.alias("b"), F.xxhash64(b).alias("row")).mapInArrow(run, "doc_id long, row long, n long, fp binary, sketch binary")
 
 
 def _with_digests(classes: DataFrame) -> DataFrame:
@@ -156,9 +165,103 @@ def _agreeing() -> Column:
     return F.lit(REGISTERS) - unequal
 
 
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets ``x`` with all sets ``y``.
+
+    Elements that many pairs share are counted by products of 0/1 matrices,
+    others pair by pair.
+    """
+    out = np.zeros((len(x), len(y)), np.float32)
+    row_x, row_y = (np.repeat(np.arange(len(v)), [len(e) for e in v]) for v in (x, y))
+    ids, at = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    at_x, at_y = at[: len(row_x)], at[len(row_x) :]
+    pairs = np.bincount(at_x, minlength=len(ids)) * np.bincount(at_y, minlength=len(ids))
+    heavy = np.flatnonzero(pairs > max(1, len(x) * len(y) // 100))
+    column = np.full(len(ids), -1)
+    column[heavy] = np.arange(len(heavy))
+    for k in range(0, len(heavy), 1024):
+        a, b = np.zeros((len(x), 1024), np.float32), np.zeros((len(y), 1024), np.float32)
+        for m, ids_, rows in ((a, at_x, row_x), (b, at_y, row_y)):
+            c = column[ids_] - k
+            here = (c >= 0) & (c < 1024)
+            m[rows[here], c[here]] = 1
+        out += a @ b.T
+    light_x, light_y = ((pairs[i] > 0) & (column[i] < 0) for i in (at_x, at_y))
+    order = np.argsort(at_y[light_y], kind="stable")
+    sorted_y, rows_y = at_y[light_y][order], row_y[light_y][order]
+    ids_x, rows_x = at_x[light_x], row_x[light_x]
+    for k in range(0, len(ids_x), 1 << 18):
+        own, rows = ids_x[k : k + (1 << 18)], rows_x[k : k + (1 << 18)]
+        start, end = np.searchsorted(sorted_y, own, "left"), np.searchsorted(sorted_y, own, "right")
+        n = end - start
+        there = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+        np.add.at(out, (np.repeat(rows, n), rows_y[there]), 1)
+    return out
+
+
+def block_links(reps: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray, similarity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the classes of two blocks, or inside the one there is.  Of
+    many links only a few that connect the same classes are given."""
+    first = blocks == blocks.min()
+    one = first.all()
+    x, y = np.flatnonzero(first), np.arange(len(reps)) if one else np.flatnonzero(~first)
+    sizes = np.array([len(s) for s in sets], np.float32)
+    both = shared_counts([sets[i] for i in x], [sets[i] for i in y])
+    linked = 100 * both >= similarity * (sizes[x][:, None] + sizes[y][None, :] - both)
+    linked &= groups[x][:, None] != groups[y][None, :]
+    a, b = np.nonzero(linked)
+    if len(a) > 4 * len(reps):  # every class points to the least label that a round of links reaches
+        label, none = np.arange(len(reps), dtype=np.int32), np.int32(len(reps))
+        while True:
+            low_y = np.where(linked, label[x][:, None], none).min(axis=0)
+            label[y] = np.minimum(label[y], low_y)
+            low_x = np.where(linked, label[y][None, :], none).min(axis=1)
+            new = label.copy()
+            new[x] = np.minimum(label[x], low_x)
+            if (new == label).all():
+                break
+            label = new
+        own = np.flatnonzero(label != np.arange(len(reps)))
+        return reps[label[own]], reps[own]
+    return reps[x[a]], reps[y[b]]
+
+
+def _in_blocks(hot: DataFrame, classes: DataFrame, whole: DataFrame, similarity: int) -> DataFrame:
+    """(a, b): links of the buckets ``hot`` (key, rep, component), which are large."""
+    sized = hot.join(classes.select("rep", "n"), "rep")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_ELEMENTS)).cast("int")
+    dealt = sized.join(sized.groupBy("key").agg(blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component")
+    rows = cells.join(whole, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
+        held: list[tuple] = []
+        now = None
+
+        def links() -> pa.RecordBatch:
+            blocks_, reps, groups = (np.array(v) for v in list(zip(*held))[:3])
+            a, b = block_links(reps, groups, [r[3] for r in held], blocks_, similarity)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(6)]
+            for n, cell in enumerate(zip(*columns[:3])):
+                if cell != now and held:
+                    yield links()
+                now = cell
+                held.append((columns[3][n], columns[4][n], columns[5][n], batch.column(6)[n].values.to_numpy()))
+        if held:
+            yield links()
+
+    return rows.select("key", "i", "j", "block", "rep", "component", "elements").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, similarity: int = 75, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row; ``similarity``
-    in hundredths of intersection to union."""
+    """doc_id, n_shingles, component_id, kept and row of every row;
+    ``similarity`` in hundredths of intersection to union."""
     spark = docs.sparkSession
     prepare(spark)
     share = similarity / 100
@@ -166,7 +269,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, shingle: int = 5, id_
     equal = share + (1 - share) / (1 << DIGEST_BITS)  # chance that two registers' digests are equal
     agree_at_least = math.floor(REGISTERS * (equal - _slack(equal, REGISTERS)))
     likely_at_least = share - _slack(share, REGISTERS)
-    paths = {k: scratch(spark, f"near-{k}") for k in ("rows", "classes", "members", "sets", "links")}
+    paths = {k: scratch(spark, f"near-{k}") for k in ("rows", "classes", "members", "sets", "links", "apart")}
 
     rows = saved(sketched(docs, shingle, id_col, text_col), paths["rows"])
     first = F.min(F.struct("doc_id", "n", "sketch")).alias("m")
@@ -225,8 +328,9 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, shingle: int = 5, id_
 
     # The rest: pairs of a bucket that are still apart.
     apart = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
-    unlike = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
-    apart = apart.join(unlike, "key", "left_semi")
+    unlike = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low != high").select("key", "size")
+    every = saved(apart.join(unlike, "key"), paths["apart"])
+    hot, apart = every.filter(F.col("size") > SMALL_BUCKET).select("key", "rep", "component"), every.filter(F.col("size") <= SMALL_BUCKET).drop("size")
     asked = apart.select("rep").distinct()
     own = classes.join(asked, "rep", "left_semi")
     known = _with_digests(own).join(own.select("rep", keys.alias("keys")), "rep").join(whole, "rep")
@@ -242,16 +346,20 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, shingle: int = 5, id_
         & ~F.arrays_overlap(F.slice("x.keys", 1, F.col("x.band")), F.slice("y.keys", 1, F.col("y.band")))  # their first common bucket
         & (both * 100 >= (F.col("x.n") + F.col("y.n") - both) * similarity)
     )
-    more = x.join(y, near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    # A component found so far takes part as one link from each of its nodes to its least node.
+    more = x.join(y, near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).unionByName(_in_blocks(hot, classes, whole, similarity)).distinct()
+    # A component found so far takes part as one link from each of its nodes to its least node,
+    # a doc_id that stands on several texts as links to the classes of all of them.
     so_far = joined.filter("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    final = components(so_far.unionByName(more))
+    several = rows.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 and doc_id is not null").select("doc_id")
+    several = rows.filter("n > 0").join(several, "doc_id", "left_semi").join(classes.select("fp", "rep"), "fp").filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    final = components(so_far.unionByName(more).unionByName(several))
 
-    out = rows.select("doc_id", "n", "fp").join(classes.select("fp", "rep"), "fp", "left")
+    out = rows.select("doc_id", "row", "n", "fp").join(classes.select("fp", "rep"), "fp", "left")
     out = out.join(final.withColumnRenamed("node", "rep"), "rep", "left")
     label = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "rep", "doc_id"))
-    result = out.select("doc_id", F.col("n").alias("n_shingles"), label.cast("long").alias("component_id"))
-    result = saved(result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), scratch(spark, "near-result"))
+    result = out.select("doc_id", F.col("n").alias("n_shingles"), label.cast("long").alias("component_id"), "row")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    result = saved(result.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "row"), scratch(spark, "near-result"))
     drop_path(spark, *paths.values())
     free_shuffles(spark)
     return result

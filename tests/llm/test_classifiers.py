@@ -200,7 +200,7 @@ def test_limits_of_languages(spark):
     trusted = {r.doc_id for r in labels.filter("quality = 1").collect()} - {r.doc_id for r in labels.filter("quality = 0").collect()}
     rows = [(r, sum(r.n_bytes >= x for x in KN.BANDS)) for r in KN.quality(docs, labels).filter("perplexity is not null").collect()]
     held = [(r.lang, b, math.log(r.perplexity)) for r, b in rows if r.doc_id in trusted and zlib.crc32(str(r.doc_id).encode()) % 4 == 3]
-    at = lambda x, q: sorted(x)[max(math.ceil(q * len(x)) - 1, 0)]
+    at = lambda x, q: sorted(round(v, KN.DIGITS) for v in x)[max(math.ceil(q * len(x)) - 1, 0)]
     usual = {g: at([m for lang, _, m in held if lang == g], 0.5) for g in {x[0] for x in held}}
     offset = {k: at([m - usual[g] for g, b, m in held if b == k], KN.QUANTILE) for k in {x[1] for x in held}}
     own = {k: at([m - offset[b] for g, b, m in held if g == k], KN.QUANTILE) + KN.SLACK for k in usual}
@@ -209,6 +209,21 @@ def test_limits_of_languages(spark):
         assert math.log(r.limit) == pytest.approx(own[r.lang] + offset.get(b, 0), abs=1e-6)
 
 
+def test_two_languages_with_few_rows(spark):
+    """Three held-out documents of each language are enough for a limit of its own."""
+    import zlib
+
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 3]
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 3]
+    plain, odd = "the cat and the dog sat on the mat ", "qwfp arst zxcv neio luyj "
+    rows = [(i, plain * 3, "en") for i in train[:60]] + [(i, plain * 3, "en") for i in held[:3]] + [(i, plain + odd * 2, "de") for i in held[3:6]]
+    rows += [(1000, odd * 3, "en"), (1001, plain + odd * 2, "de"), (1002, plain * 3, "fr")]
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows if r[0] < 1000], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in KN.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()}
+    assert got[held[0]].limit < got[held[3]].limit
+    assert not got[1000].kept and got[1001].kept and got[1002].kept and got[1002].limit > 0
+
+
 def test_kneser_ney_odd(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (3, 1, 1), (8, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert KN.quality(odd_docs, labels).count() == odd_docs.count()

@@ -18,15 +18,18 @@ the text and not with its length.  Model and scores come from sharded tables:
 
 A trusted document is labelled quality 1.  Three quarters of them train; the
 others give the limits of the mean negative log probability.  A band of lengths
-has one offset for all languages: the quantile of how far its documents lie
-above their language's median, as short ones spread more.  A language's limit is
-the quantile of its own documents less their offsets, whatever their number, and
-in a band the offset is added again.  A language without any takes the quantile
-of all, a band without any no offset.
+(``BANDS``, in bytes) has one offset for all languages: the ``QUANTILE`` of how
+far its documents lie above their language's median, as short ones spread more.
+A language's limit is the same quantile of its own documents less their offsets,
+whatever their number, and ``SLACK``; in a band the offset is added again.  A
+language without any takes the quantile of all, a band without any no offset.
+Quantiles are exact, over values rounded to ``DIGITS``: counts of rounded values
+merge, so no order of rows or tasks shows in them.
 
 A null or empty text has no perplexity and is rejected.  Rows that repeat a
-doc_id are scored one by one; a null language is ``und``; without trusted rows
-nothing has a limit and every text stays.  Other columns are not read.
+doc_id are scored one by one, and ``row``, a hash of the text, tells them apart;
+a null language is ``und``; without trusted rows nothing has a limit and every
+text stays.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,11 +43,13 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.common import drop_path, free_caches, free_shuffles, prepare, saved, scratch, small_batches, text_bytes
 
-ORDER = 5
+ORDER = 6
 HOT = 1 << 19
 SLOT_BITS = 21
+#: Share of a language's held-out trusted documents within its limit, and what is added to it (nats a byte).
 QUANTILE = 0.995
 SLACK = 0.02
+DIGITS = 4
 BANDS = (64, 256, 1024, 4096)
 HELD_OUT_OF = 4
 FILTER_BITS = 26
@@ -223,42 +228,50 @@ class HotTable:
 
 
 def document_scores(docs: DataFrame, nll: DataFrame, lang_col: str, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
-    """(row, doc_id, lang, n_bytes, total) and the paths of what it reads."""
+    """(number, row, doc_id, lang, n_bytes, total) and the paths of what it reads."""
     spark = docs.sparkSession
     hot = nll.orderBy(F.desc("n_all"), "gram").limit(HOT).select("gram", "nll").toArrow()
     table = spark.sparkContext.broadcast((hot.column("gram").to_numpy(), hot.column("nll").to_numpy()))
-    schema = "row long, doc_id long, lang string, gram long, n long, total double"
+    schema = "number long, row long, doc_id long, lang string, gram long, n long, total double"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_caches()
         fast = HotTable(*table.value)
         for b in small_batches(batches, "b", 1 << 19):
-            rows, docs_, langs = (b.column(i).to_pylist() for i in (0, 1, 2))
+            numbers = b.column(0).to_pylist()
             n, total, cold = [], [], []
-            for i, x in enumerate(b.column(3)):
+            for i, x in enumerate(b.column(4)):
                 g = windows(x.as_py() or b"")
                 v, there = fast.look_up(g)
                 n.append(len(g))
                 total.append(float(v.sum()))
                 if not there.all():
                     u, c = np.unique(g[~there], return_counts=True)
-                    cold.append((np.full(len(u), rows[i]), u, c))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(docs_, pa.int64()), pa.array(langs, pa.string()), pa.nulls(len(rows), pa.int64()), pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=["row", "doc_id", "lang", "gram", "n", "total"])
+                    cold.append((np.full(len(u), numbers[i]), u, c))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.nulls(len(n), pa.int64()), pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=names)
             if cold:
                 r, u, c = (np.concatenate(x) for x in zip(*cold))
-                yield pa.RecordBatch.from_arrays([pa.array(r), pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.string()), pa.array(u), pa.array(c), pa.nulls(len(r), pa.float64())], names=["row", "doc_id", "lang", "gram", "n", "total"])
+                none = pa.nulls(len(r), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(r), none, none, pa.nulls(len(r), pa.string()), pa.array(u), pa.array(c), pa.nulls(len(r), pa.float64())], names=names)
 
-    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_bytes(docs, text_col).alias("b"))
+    text = text_bytes(docs, text_col)
+    src = docs.select(F.monotonically_increasing_id().alias("number"), F.xxhash64(text).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text.alias("b"))
     path = scratch(spark, "kn-scores")
     both = saved(src.mapInArrow(run, schema), path)
     table.unpersist()
-    base = both.filter("gram is null").select("row", "doc_id", "lang", F.col("n").alias("n_bytes"), "total")
-    rest = both.filter("gram is not null").join(nll.select("gram", "nll"), "gram").groupBy("row").agg(F.sum(F.col("n") * F.col("nll")).alias("more"))
-    return base.join(rest, "row", "left").select("row", "doc_id", "lang", "n_bytes", (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")), [path]
+    base = both.filter("gram is null").select("number", "row", "doc_id", "lang", F.col("n").alias("n_bytes"), "total")
+    rest = both.filter("gram is not null").join(nll.select("gram", "nll"), "gram").groupBy("number").agg(F.sum(F.col("n") * F.col("nll")).alias("more"))
+    return base.join(rest, "number", "left").select("number", "row", "doc_id", "lang", "n_bytes", (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")), [path]
+
+
+def _quantile(value: str, q: float) -> Column:
+    """Exact quantile of SQL ``value`` rounded to ``DIGITS``: an element, no mean of two."""
+    return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY round({value}, {DIGITS}))")
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity (of a byte), limit and kept of every row."""
+    """doc_id, row, lang, n_bytes, perplexity (of a byte), limit and kept of every row."""
     spark = docs.sparkSession
     prepare(spark)
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT_OF == HELD_OUT_OF - 1
@@ -271,22 +284,25 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     nll = probabilities(counts, nll_path)
     scores, paths = document_scores(docs, nll, lang_col, id_col, text_col)
     band = sum((F.when(F.col("n_bytes") >= x, 1).otherwise(0) for x in BANDS), F.lit(0))
-    mean = F.when(F.col("n_bytes") > 0, F.col("total") / F.col("n_bytes"))
+    mean = F.when(F.col("n_bytes") > 0, F.round(F.col("total") / F.col("n_bytes"), 9))
     scores_path = scratch(spark, "kn-means")
-    scores = saved(scores.select("doc_id", "lang", "n_bytes", band.alias("band"), mean.alias("mean")), scores_path)
+    scores = saved(scores.select("doc_id", "row", "lang", "n_bytes", band.alias("band"), mean.alias("mean")), scores_path)
     drop_path(spark, counts_path, nll_path, *paths)
     free_shuffles(spark)
 
     known = scores.join(trusted.filter("held"), "doc_id", "left_semi").filter("mean is not null")
-    limit = F.percentile_approx(F.col("mean") - F.col("offset"), quantile, 10_000) + SLACK
+    limit = _quantile("mean - `offset`", quantile) + SLACK
     # These tables have a row for each language and band at most.
-    by_lang = F.broadcast(known.groupBy("lang").agg(F.percentile_approx("mean", 0.5, 10_000).alias("usual")))
-    offsets = F.broadcast(known.join(by_lang, "lang").groupBy("band").agg(F.percentile_approx(F.col("mean") - F.col("usual"), quantile, 10_000).alias("offset")))
+    by_lang = F.broadcast(known.groupBy("lang").agg(_quantile("mean", 0.5).alias("usual")))
+    offsets = F.broadcast(known.join(by_lang, "lang").groupBy("band").agg(_quantile("mean - usual", quantile).alias("offset")))
     known = known.join(offsets, "band")
-    out = scores.join(offsets, "band", "left").join(F.broadcast(known.groupBy("lang").agg(limit.alias("l1"))), "lang", "left").join(F.broadcast(known.agg(limit.alias("l2"))))
-    out = out.withColumn("own", F.coalesce("l1", "l2") + F.coalesce("offset", F.lit(0.0)))
+    everywhere = known.agg(limit.alias("limit")).first().limit
+    limits = F.broadcast(known.groupBy("lang").agg(limit.alias("own")))
+    out = scores.join(offsets, "band", "left").join(limits, "lang", "left")
+    out = out.withColumn("own", F.coalesce("own", F.lit(everywhere).cast("double")) + F.coalesce("offset", F.lit(0.0)))
     return out.select(
         "doc_id",
+        "row",
         "lang",
         "n_bytes",
         F.round(F.exp("mean"), 9).alias("perplexity"),

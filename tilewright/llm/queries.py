@@ -19,7 +19,7 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kneser_ney.quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return kneser_ney.quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("row")
 
 
 def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setsketch.near_duplicates(_documents(spark, sf_dir))
+    return setsketch.near_duplicates(_documents(spark, sf_dir)).drop("row")
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:

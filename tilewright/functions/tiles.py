@@ -18,7 +18,7 @@ MAX_ZOOM = 30
 
 def side(z: Column) -> Column:
     """Tiles along one side at zoom ``z``."""
-    return F.expr("1L") * F.pow(F.lit(2.0), z).cast("long")
+    return F.call_function("shiftleft", F.lit(1).cast("long"), z.cast("int"))
 
 
 def mercator_x(lon: Column, z: Column) -> Column:
@@ -65,22 +65,22 @@ def pixel_y(lat: Column, z: Column, y: Column) -> Column:
     return F.round((mercator_y(lat, z) - y) * EXTENT).cast("long")
 
 
-def _levels(z: Column, down: bool) -> Column:
-    order = F.sequence(F.lit(MAX_ZOOM - 1), F.lit(0), F.lit(-1)) if down else F.sequence(F.lit(0), F.lit(MAX_ZOOM - 1))
-    return F.filter(order, lambda a: a < z)
+def _halves(z: Column, down: bool) -> Column:
+    """Half the side of the square at each level of zoom ``z``, a slice of constants."""
+    sides = [F.lit(1 << a).cast("long") for a in range(MAX_ZOOM)]
+    return F.slice(F.array(*sides[::-1]), MAX_ZOOM + 1 - z, z) if down else F.slice(F.array(*sides), F.lit(1), z)
 
 
 def _first_of_zoom(z: Column) -> Column:
     """Number of tiles at the zooms below: (4**z - 1) / 3, exact in 64 bits."""
-    return F.expr("0L") + F.aggregate(_levels(z, False), F.expr("0L"), lambda acc, _: acc * 4 + 1)
+    return F.get(F.array(*(F.lit((4**a - 1) // 3).cast("long") for a in range(MAX_ZOOM + 2))), z)
 
 
 def hilbert_id(z: Column, x: Column, y: Column) -> Column:
     """Number of an XYZ tile along the Hilbert curves of all zooms in turn."""
     start = F.struct(F.expr("0L").alias("d"), x.cast("long").alias("x"), y.cast("long").alias("y"))
 
-    def step(s: Column, a: Column) -> Column:
-        half = F.pow(F.lit(2.0), a).cast("long")
+    def step(s: Column, half: Column) -> Column:
         lx, ly = s["x"].bitwiseAND(half - 1), s["y"].bitwiseAND(half - 1)
         right, low = s["x"].bitwiseAND(half) != 0, s["y"].bitwiseAND(half) != 0
         quadrant = F.when(right, F.when(low, F.expr("2L")).otherwise(F.expr("3L"))).otherwise(F.when(low, F.expr("1L")).otherwise(F.expr("0L")))
@@ -89,7 +89,7 @@ def hilbert_id(z: Column, x: Column, y: Column) -> Column:
             (s["d"] + quadrant * half * half).alias("d"), F.when(low, lx).otherwise(my).alias("x"), F.when(low, ly).otherwise(mx).alias("y")
         )
 
-    return _first_of_zoom(z) + F.aggregate(_levels(z, True), start, step, lambda s: s["d"])
+    return _first_of_zoom(z) + F.aggregate(_halves(z, True), start, step, lambda s: s["d"])
 
 
 def hilbert_zoom(tile_id: Column) -> Column:
@@ -102,15 +102,14 @@ def hilbert_xy(tile_id: Column) -> Column:
     z = hilbert_zoom(tile_id)
     start = F.struct((tile_id - _first_of_zoom(z)).alias("d"), F.expr("0L").alias("x"), F.expr("0L").alias("y"))
 
-    def step(s: Column, a: Column) -> Column:
-        half = F.pow(F.lit(2.0), a).cast("long")
+    def step(s: Column, half: Column) -> Column:
         q = s["d"].bitwiseAND(3)
         right, low = q >= 2, (q == 1) | (q == 2)
         mx, my = F.when(right, half - 1 - s["x"]).otherwise(s["x"]), F.when(right, half - 1 - s["y"]).otherwise(s["y"])
         x, y = F.when(low, s["x"]).otherwise(my), F.when(low, s["y"]).otherwise(mx)
         return F.struct(F.shiftright(s["d"], 2).alias("d"), (x + F.when(right, half).otherwise(0)).alias("x"), (y + F.when(low, half).otherwise(0)).alias("y"))
 
-    out = F.aggregate(_levels(z, False), start, step)
+    out = F.aggregate(_halves(z, False), start, step)
     return F.struct(z.alias("z"), out["x"].alias("x"), out["y"].alias("y"))
 
 

@@ -52,23 +52,24 @@ def _class(layer: str, name: str, zoom: int, kind: int) -> Column:
     return F.struct(F.lit(layer).alias("layer"), F.lit(name).alias("class"), F.lit(zoom).alias("min_zoom"), F.lit(kind).alias("kind"))
 
 
+def _looked_up(values: dict[str, Column], tag: Column) -> Column:
+    """The class that a tag's value has in a constant map; null without one."""
+    return F.try_element_at(F.create_map(*(x for v, c in values.items() for x in (F.lit(v), c))), tag)
+
+
 def road_class(tags: Column) -> Column:
     """struct(layer, class, min_zoom, kind) of a road; null for other ways."""
-    out = None
-    for name, (zoom, values) in ROADS.items():
-        hit = tags["highway"].isin(values)
-        c = _class("transportation", name, zoom, LINE)
-        out = F.when(hit, c) if out is None else out.when(hit, c)
-    return out
+    return _looked_up({v: _class("transportation", name, zoom, LINE) for name, (zoom, values) in ROADS.items() for v in values}, tags["highway"])
 
 
 def area_class(tags: Column) -> Column:
     """struct(layer, class, min_zoom, kind) of an area; null for other ways."""
     building = trimmed(F.coalesce(tags["building"], F.lit("")))
-    out = F.when((building != "") & (building != "no"), _class("building", "building", 14, POLYGON))
+    by_tag: dict[str, dict[str, Column]] = {}  # the rows of a tag stand together in AREAS
     for tag, values, layer, name, zoom in AREAS:
-        out = out.when(tags[tag].isin(values), _class(layer, name, zoom, POLYGON))
-    return out
+        by_tag.setdefault(tag, {}).update({v: _class(layer, name, zoom, POLYGON) for v in values})
+    own = F.when((building != "") & (building != "no"), _class("building", "building", 14, POLYGON))
+    return F.coalesce(own, *(_looked_up(values, tags[tag]) for tag, values in by_tag.items()))
 
 
 def classified(tags: Column) -> Column:
@@ -184,30 +185,44 @@ def fan_out(feats: DataFrame, min_zoom: int, max_zoom: int) -> DataFrame:
     return tiles_of(zoomed).drop("min_lon", "max_lon", "min_lat", "max_lat")
 
 
-def encode(fanned: DataFrame, tolerance: float = 4.0, gzip: bool = True) -> DataFrame:
-    """Vector tiles (z, x, y, data), TMS rows, empty ones left out."""
+def shaped(fanned: DataFrame, tolerance: float = 4.0) -> DataFrame:
+    """(z, x, y, ord, layer, kind, props, geometry): each feature's commands in
+    each of its tiles, simplified and clipped, where anything is left.  It runs
+    where the features were fanned out, so whole outlines are not shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            z, x, y, feats = (b.column(i).to_pylist() for i in range(4))
+            z, x, y, kind, rings, multi = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("z", "x", "y", "kind", "rings", "multi"))
             out = []
-            for zz, xx, yy, own in zip(z, x, y, feats):
-                shapes = [
-                    {**f, "props": dict(f["props"]), "rings": [{"hole": r["hole"], "points": [(p["lon"], p["lat"]) for p in r["points"]]} for r in f["rings"]]}
-                    for f in own
-                ]
-                tile = K.encode_tile(shapes, zz, xx, yy, tolerance)
-                out.append((zz, xx, (1 << zz) - 1 - yy, K.compressed(tile) if gzip and tile else tile))
-            out = [t for t in out if t[3]]
-            cols = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["z", "x", "y", "data"])
+            for zz, xx, yy, k, own, m in zip(z, x, y, kind, rings, multi):
+                points = [{"hole": r["hole"], "points": [(p["lon"], p["lat"]) for p in r["points"]]} for r in own]
+                out.append(K.tile_geometry({"kind": k, "multi": m, "rings": points}, zz, xx, yy, tolerance))
+            keep = pa.array([bool(g) for g in out])
+            columns = [b.column(b.schema.get_field_index(c)) for c in names[:-1]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.binary())], names=names).filter(keep)
 
     ship(fanned.sparkSession)
     # A map cannot be sorted or compared, so properties travel as entries.
-    listed = fanned.withColumn("props_list", F.array_sort(F.map_entries("props"))).drop("props")
-    by = listed.groupBy("z", "x", "y").agg(F.array_sort(F.collect_list(F.struct("ord", "layer", "kind", "props_list", "rings", "multi"))).alias("f"))
-    features_ = F.transform("f", lambda v: F.struct(v["layer"].alias("layer"), v["kind"].alias("kind"), F.map_from_entries(v["props_list"]).alias("props"), v["rings"].alias("rings"), v["multi"].alias("multi")))
-    return by.select(F.col("z").cast("int"), "x", "y", features_.alias("f")).mapInArrow(run, "z int, x long, y long, data binary")
+    src = fanned.select(F.col("z").cast("int"), "x", "y", "ord", "layer", "kind", F.array_sort(F.map_entries("props")).alias("props"), "rings", "multi")
+    names = ["z", "x", "y", "ord", "layer", "kind", "props", "geometry"]
+    kinds = dict(src.dtypes)
+    return src.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names[:-1]) + ", geometry binary")
+
+
+def encode(fanned: DataFrame, tolerance: float = 4.0, gzip: bool = True) -> DataFrame:
+    """Vector tiles (z, x, y, data), TMS rows, empty ones left out.  A tile's
+    task holds the clipped commands of its features, no outlines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            z, x, y, feats = (b.column(i).to_pylist() for i in range(4))
+            tiles = [K.tile_of([(f["layer"], f["kind"], [(p["key"], p["value"]) for p in f["props"]], f["geometry"]) for f in own]) for own in feats]
+            data = [K.compressed(t) if gzip else t for t in tiles]
+            rows = [(1 << zz) - 1 - yy for zz, yy in zip(z, y)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.int64()), pa.array(data, pa.binary())], names=["z", "x", "y", "data"])
+
+    by = shaped(fanned, tolerance).groupBy("z", "x", "y").agg(F.array_sort(F.collect_list(F.struct("ord", "layer", "kind", "props", "geometry"))).alias("f"))
+    return by.mapInArrow(run, "z int, x long, y long, data binary")
 
 
 def build_osm(nodes: DataFrame, ways: DataFrame, relations: DataFrame | None = None, min_zoom: int = 5, max_zoom: int = 14, tolerance: float = 4.0) -> tuple[DataFrame, DataFrame]:

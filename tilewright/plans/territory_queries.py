@@ -262,12 +262,12 @@ def simplify_rings(spark: SparkSession, sf: str) -> DataFrame:
 _pip_sql = f"""{I.POINTS}, q AS (SELECT id, (lon + 180) / 360 * 40 AS px, (lat + 85) / 170 * 40 AS py FROM pts)"""
 
 
-@query(f"WITH {I.SQUARES}, {_pip_sql} SELECT id AS point_id, code AS polygon_id FROM q JOIN squares ON ord % 3 <> 0 AND px >= gx AND px < gx + 1 AND py >= gy AND py < gy + 1")
+@query(f"WITH {I.SQUARES}, {_pip_sql} SELECT id AS point_id, code AS polygon_id FROM q JOIN squares ON px >= gx AND px < gx + 1 AND py >= gy AND py < gy + 1")
 def pip_reverse_lookup(spark: SparkSession, sf: str) -> DataFrame:
     p = I.points(spark, sf).select(C("id").alias("point_id"), ((C("lon") + 180) / 360 * 40).alias("lon"), ((C("lat") + 85) / 170 * 40).alias("lat"))
     pt = lambda dx, dy: F.struct((C("gx") + dx).cast("double").alias("lon"), (C("gy") + dy).cast("double").alias("lat"))
     ring = F.array(pt(0, 0), pt(1, 0), pt(1, 1), pt(0, 1), pt(0, 0))
-    s = I.squares(spark, sf).filter("ord % 3 <> 0").select(C("code").alias("polygon_id"), F.array(F.array(ring)).alias("geometry"))
+    s = I.squares(spark, sf).select(C("code").alias("polygon_id"), F.array(F.array(ring)).alias("geometry"))
     return spatial.point_in_polygon(p, s, cell=1.0)
 
 

@@ -48,7 +48,19 @@ def import_archive(spark: SparkSession, path: str, output: str, replace: bool =
     if tiles.isEmpty():
         raise ValueError(f"{path} holds no tile")
     kind = "pmtiles" if packed else f"mbtiles {mbtiles.layout(path)}"
-    return tileset.publish(tiles, _rows(spark, meta | provenance([path], kind=kind)), output, source=os.path.basename(path), replace=replace)
+    return tileset.publish(tiles, _rows(spark, meta | provenance([path], kind=kind)), output, source=os.path.basename(path), replace=replace, provenance=imported(tiles, path, kind, meta))
+
+
+def imported(tiles: DataFrame, path: str, kind: str, meta: dict[str, str]) -> dict:
+    """What an import took in, for the manifest: the file's name and size, tiles,
+    bytes, zooms and how rows and payloads were carried over."""
+    s = tiles.agg(F.count("*").alias("tiles"), F.sum(F.octet_length("data").cast("long")).alias("bytes"), F.min("z").alias("low"), F.max("z").alias("high")).first()
+    out = {
+        "mode": kind, "source": os.path.basename(path), "source_bytes": os.path.getsize(path), "tiles": s.tiles, "tile_bytes": s.bytes, "minzoom": s.low, "maxzoom": s.high,
+        "coordinates": "xyz rows turned to tms" if kind == "pmtiles" else "tms rows kept", "payloads": "unchanged",
+    }
+    more = {"format": meta.get("format"), "tile_content_encoding": meta.get("kb:content_encoding")}
+    return out | {k: v for k, v in more.items() if v}
 
 
 def build_pbf(spark: SparkSession, paths: list[str], output: str, preset: str = "", postal_codes: bool | None = None, replace: bool = False, sidecar: str | None = None) -> dict:
@@ -66,7 +78,8 @@ def build_pbf(spark: SparkSession, paths: list[str], output: str, preset: str =
     tiles, feats = osm.build_osm(nodes, ways, relations, low, high, tolerance)
     name = os.path.splitext(os.path.basename(own[0]))[0]
     meta = osm.stream_metadata(name, (box.min_lon, box.min_lat, box.max_lon, box.max_lat), low, high, postal)
-    manifest = tileset.publish(tiles, _rows(spark, meta | provenance(own, preset=preset or "balanced")), output, source=name, replace=replace)
+    made = {"mode": "osm pbf", "sources": [os.path.basename(p) for p in own], "source_bytes": sum(map(os.path.getsize, own)), "preset": preset or "balanced", "minzoom": low, "maxzoom": high, "simplify_pixels": tolerance, "postal_codes": postal}
+    manifest = tileset.publish(tiles, _rows(spark, meta | provenance(own, preset=preset or "balanced")), output, source=name, replace=replace, provenance=made)
     if postal and sidecar:
         areas = feats.filter("layer = 'postal_code'").select("ord", F.col("props")["postcode"].alias("postcode"), F.coalesce(F.col("props")["name"], F.lit("")).alias("name"), "rings")
         points = F.transform("rings", lambda r: r["points"])

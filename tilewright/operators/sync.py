@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.functions.tiles import MAX_ZOOM
 from tilewright.operators.spatial import overlapping_pairs
 from tilewright.operators.tileset import expand_ranges
 from tilewright.shipping import ship
@@ -40,10 +42,12 @@ def request_conflicts(keys: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def plan(keys: DataFrame, cache: DataFrame, dataset: str, revision: str) -> DataFrame:
     """Each requested key with ``reuse`` (present and sound), ``corrupt``
-    (present with a wrong checksum) or ``download``."""
+    (present with a wrong checksum) or ``download``.  A tile that the cache holds
+    twice is one; it is corrupt if one copy is."""
     here = cache.filter((F.col("dataset") == dataset) & (F.col("revision") == revision))
     state = F.when(F.lower("checksum") == F.sha2("data", 256), "reuse").otherwise("corrupt")
-    return keys.join(here.select(*KEY, state.alias("state")), KEY, "left").select(*KEY, F.coalesce("state", F.lit("download")).alias("action"))
+    here = here.select(*KEY, state.alias("state")).groupBy(*KEY).agg(F.min("state").alias("state"))
+    return keys.join(here, KEY, "left").select(*KEY, F.coalesce("state", F.lit("download")).alias("action"))
 
 
 def result(planned: DataFrame, total: Column | None = None) -> DataFrame:
@@ -53,13 +57,16 @@ def result(planned: DataFrame, total: Column | None = None) -> DataFrame:
     return out.withColumn("published", F.col("corrupt") == 0)
 
 
-def download(planned: DataFrame, fetch: Callable[[int, int, int], bytes], dataset: str, revision: str) -> DataFrame:
+def download(planned: DataFrame, fetch: Callable[[int, int, int], bytes], dataset: str, revision: str, done: Accumulator | None = None) -> DataFrame:
     """Cache rows of the keys to download.  ``fetch`` runs on the workers, one
-    call a tile, and raises on failure."""
+    call a tile, and raises on failure; ``done`` counts the tiles fetched, while
+    the job runs (a repeated task counts again)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             p["data"] = [fetch(int(z), int(x), int(y)) for z, x, y in zip(p["z"], p["x"], p["y"])]
+            if done is not None:
+                done.add(len(p))
             yield p
 
     ship(planned.sparkSession)
@@ -72,6 +79,18 @@ def prune(cache: DataFrame, dataset: str, active: str) -> DataFrame:
     return cache.filter((F.col("dataset") != dataset) | (F.col("revision") == active))
 
 
+def range_problem() -> Column:
+    """Why a range row (z, x_min, x_max, y_min, y_max) is refused; null if it is sound."""
+    c = F.col
+    n = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), F.least(c("z"), F.lit(MAX_ZOOM))).cast("int"))
+    return (
+        F.when(c("z").isNull() | ~c("z").between(0, MAX_ZOOM), "zoom")
+        .when(F.coalesce((c("x_min") < 0) | (c("x_min") > c("x_max")), F.lit(True)), "columns")
+        .when(F.coalesce((c("y_min") < 0) | (c("y_min") > c("y_max")), F.lit(True)), "rows")
+        .when((c("x_max") >= n) | (c("y_max") >= n), "outside the zoom")
+    )
+
+
 def manifest_problem(m: dict[str, str] | None = None) -> Column:
     """Why a manifest row is refused; null if it is sound."""
     c = F.col

@@ -25,6 +25,9 @@ SAMPLE_ROWS, HEADROOM, LEAST_TILE = 1024, 8, 16 << 10
 FIXED_MEMORY, ROW_OVERHEAD = 2 << 20, 768
 
 
+#: Sets up to this size get the sequential digest too.
+SEQUENTIAL_BYTES = 1 << 30
+
 #: What tells payloads apart before their bytes are compared: two hashes and the length.
 SIGNATURE = ["sha", "hash", "size"]
 
@@ -93,8 +96,9 @@ def dangling(keyed: DataFrame, images: DataFrame) -> DataFrame:
 def tile_digest(tiles: DataFrame) -> DataFrame:
     """SHA-256 over the tiles in key order: BE64(z, x, y, length), then the data.
 
-    The digest is sequential by definition.  The sort is distributed; one task
-    then streams the sorted ranges through the hash with bounded memory.
+    The digest is sequential by definition: one task sorts the tiles, on disk
+    where they do not fit its memory, and hashes them one by one.  It is for sets
+    of up to ``SEQUENTIAL_BYTES``; ``tree_digest`` is the one for any size.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,12 +113,15 @@ def tile_digest(tiles: DataFrame) -> DataFrame:
 
     ship(tiles.sparkSession)
     head = F.concat(T.be64(F.col("z")), T.be64(F.col("x")), T.be64(F.col("y")), T.be64(F.octet_length("data")))
-    return tiles.orderBy("z", "x", "y").select(head.alias("head"), "data").coalesce(1).mapInArrow(run, "n_tiles long, sha256 string")
+    one = tiles.select("z", "x", "y", "data").repartition(1).sortWithinPartitions("z", "x", "y")
+    return one.select(head.alias("head"), "data").mapInArrow(run, "n_tiles long, sha256 string")
 
 
 def tree_digest(tiles: DataFrame, rows_per_node: int = 4096) -> DataFrame:
-    """A digest for very large sets: hashes of key blocks, then of the blocks'
-    hashes.  Blocks are squares of tiles, hashed in parallel."""
+    """A digest for sets of any size: hashes of key blocks, then of the blocks'
+    hashes.  Blocks are squares of tiles, hashed in parallel, and only hashes
+    are shuffled: SHA-256 over BE64(z, x, y) and the data's SHA-256 for a tile,
+    over the hexadecimal digests in order for each level above."""
     side = int(rows_per_node**0.5)
     leaf = F.sha2(F.concat(F.unhex(F.concat(T.be64(F.col("z")), T.be64(F.col("x")), T.be64(F.col("y")))), F.unhex(F.sha2("data", 256))), 256)
     block = [F.col("z"), F.floor(F.col("x") / side).alias("bx"), F.floor(F.col("y") / side).alias("by")]
@@ -126,6 +133,12 @@ def tree_digest(tiles: DataFrame, rows_per_node: int = 4096) -> DataFrame:
     return top.select("z", F.sha2(F.array_join(F.transform("rows", lambda r: r["node"]), "").cast("binary"), 256).alias("sha256"))
 
 
+def set_digest(tiles: DataFrame) -> str:
+    """The tree digest of a whole set: SHA-256 over the zooms' digests in order."""
+    zooms = sorted((r.z, r.sha256) for r in tree_digest(tiles).collect())  # a row a zoom
+    return hashlib.sha256("".join(f"{z}:{d};" for z, d in zooms).encode()).hexdigest()
+
+
 def metadata_digest(metadata: DataFrame) -> DataFrame:
     """SHA-256 over (name, value) by name: BE32 of the byte length before each.
     Metadata is a handful of rows, so one group is bounded."""
@@ -201,13 +214,14 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def publish(tiles: DataFrame, metadata: DataFrame, path: str, source: str = "", replace: bool = False) -> dict:
+def publish(tiles: DataFrame, metadata: DataFrame, path: str, source: str = "", replace: bool = False, provenance: dict | None = None) -> dict:
     """Write an immutable tile set: Parquet by zoom, sorted within files;
     metadata; manifest.json; COMPLETE last.
 
-    Everything is written beside ``path``, checked, and then renamed, so a
-    failure leaves what stood there untouched.  Duplicate or invalid keys are
-    an error.
+    Everything is written beside ``path``, checked, and then renamed.  Duplicate
+    or invalid keys are an error.  With ``replace`` the old set is moved aside
+    and comes back if the rename fails; between the two renames neither stands,
+    so where readers must not see that, publish versions (``versions``).
     """
     spark = tiles.sparkSession
     jvm = spark._jvm
@@ -215,7 +229,9 @@ def publish(tiles: DataFrame, metadata: DataFrame, path: str, source: str = "",
     system = target.getFileSystem(spark._jsc.hadoopConfiguration())
     if system.exists(target) and not replace:
         raise FileExistsError(path)
-    tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
+    tag = uuid.uuid4().hex[:8]
+    tmp, aside = f"{path}.tmp-{tag}", jvm.org.apache.hadoop.fs.Path(f"{path}.old-{tag}")
+    moved = False
     try:
         sorted_ = tiles.select("z", "x", "y", "data").repartitionByRange("z", "x", "y").sortWithinPartitions("z", "x", "y")
         sorted_.write.partitionBy("z").parquet(f"{tmp}/tiles")
@@ -232,28 +248,39 @@ def publish(tiles: DataFrame, metadata: DataFrame, path: str, source: str = "",
             "tables": [{"name": "tiles", "rows": stats.tiles}, {"name": "metadata", "rows": metadata.count()}],
             "payload_bytes": stats.bytes,
             "largest_tile": stats.largest,
-            "tile_digest_sha256": tile_digest(written).first().sha256,
+            "tile_tree_sha256": set_digest(written),
+            "tile_digest_sha256": tile_digest(written).first().sha256 if stats.bytes <= SEQUENTIAL_BYTES else None,
             "metadata_digest_sha256": metadata_digest(metadata).first().sha256,
+            "provenance": provenance or {},
         }
         for name, text in (("manifest.json", json.dumps(manifest, indent=1, sort_keys=True)), ("COMPLETE", "")):
             out = system.create(jvm.org.apache.hadoop.fs.Path(f"{tmp}/{name}"), True)
             out.write(bytearray(text.encode()))
             out.close()
-        if replace:
-            _delete(spark, path)
+        if replace and system.exists(target):
+            moved = system.rename(target, aside)
         if not system.rename(jvm.org.apache.hadoop.fs.Path(tmp), target):
             raise OSError(f"could not rename to {path}")
-        return manifest
     except BaseException:
+        if moved and not system.exists(target):
+            system.rename(aside, target)
         _delete(spark, tmp)
         raise
+    if moved:
+        system.delete(aside, True)
+    return manifest
 
 
-def read_tiles(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
-    """A published set's tiles; an error where COMPLETE is missing."""
+def _whole(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/COMPLETE")
-    if check and not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         raise ValueError(f"{path} was not published whole")
+
+
+def read_tiles(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
+    """A published set's tiles; an error where COMPLETE is missing."""
+    if check:
+        _whole(spark, path)
     return spark.read.schema("x long, y long, data binary, z int").parquet(f"{path}/tiles").select("z", "x", "y", "data")
 
 
@@ -272,13 +299,59 @@ def table_rows(manifest: dict, name: str) -> int:
 
 def validate(spark: SparkSession, path: str) -> list[str]:
     """What a full audit finds wrong; an empty list if nothing."""
+    _whole(spark, path)
     manifest = read_manifest(spark, path)
     tiles, metadata = read_tiles(spark, path), read_metadata(spark, path)
     found = []
     if tiles.count() != table_rows(manifest, "tiles"):
         found.append("the number of tiles differs")
-    if tile_digest(tiles).first().sha256 != manifest["tile_digest_sha256"]:
+    if set_digest(tiles) != manifest["tile_tree_sha256"]:
         found.append("the tiles' digest differs")
     if metadata_digest(metadata).first().sha256 != manifest["metadata_digest_sha256"]:
         found.append("the metadata's digest differs")
     return found
+
+
+def inspect(spark: SparkSession, path: str) -> dict:
+    """The manifest of a set that an audit finds whole; an error otherwise."""
+    found = validate(spark, path)
+    if found:
+        raise ValueError("; ".join(found))
+    return read_manifest(spark, path)
+
+
+def tile(spark: SparkSession, path: str, z: int, x: int, y: int, out: str | None = None) -> bytes | None:
+    """One tile of a published set, also written to the file ``out``; None, and
+    no file, where the set has none."""
+    row = read_tiles(spark, path).filter((F.col("z") == z) & (F.col("x") == x) & (F.col("y") == y)).select("data").first()
+    if row is None:
+        return None
+    if out:
+        with open(out, "wb") as f:
+            f.write(row.data)
+    return bytes(row.data)
+
+
+#: Exit codes of the verbs below: done, refused, wrong call, absent.
+DONE, REFUSED, MISUSED, ABSENT = 0, 1, 2, 3
+
+
+def run_verb(spark: SparkSession, verb: str, *args: str) -> tuple[int, object]:
+    """``validate path``, ``inspect path`` and ``tile path z x y [file]`` as
+    commands give them: (exit code, what was found)."""
+    try:
+        if verb == "validate" and len(args) == 1:
+            found = validate(spark, args[0])
+            return (REFUSED, found) if found else (DONE, read_manifest(spark, args[0]))
+        if verb == "inspect" and len(args) == 1:
+            return DONE, inspect(spark, args[0])
+        if verb == "tile" and len(args) in (4, 5):
+            try:
+                key = [int(v) for v in args[1:4]]
+            except ValueError:
+                return MISUSED, "z, x and y must be whole numbers"
+            data = tile(spark, args[0], *key, *args[4:])
+            return (ABSENT, None) if data is None else (DONE, data)
+    except (OSError, ValueError) as e:
+        return REFUSED, str(e)
+    return MISUSED, f"{verb} does not take {len(args)} arguments"

@@ -242,7 +242,11 @@ def sampled_largest(spark: SparkSession, sf: str) -> DataFrame:
     return tileset.sampled_largest(I.tiles(spark, sf), 300)
 
 
-@query()
+_leaf = "sha256(unhex(lpad(hex(CAST(z AS BIGINT)), 16, '0') || lpad(hex(x), 16, '0') || lpad(hex(y), 16, '0') || sha256(data)))"
+
+
+@query(f"""WITH {I.TILES}, n AS (SELECT z, x // 64 AS bx, y // 64 AS by_, sha256(string_agg({_leaf}, '' ORDER BY x, y)) AS node FROM tiles GROUP BY ALL),
+c AS (SELECT z, bx, sha256(string_agg(node, '' ORDER BY by_)) AS node FROM n GROUP BY ALL) SELECT z, sha256(string_agg(node, '' ORDER BY bx)) AS sha256 FROM c GROUP BY z""")
 def tree_digest(spark: SparkSession, sf: str) -> DataFrame:
     """Digest of the tile set by blocks, the parallel form."""
     return tileset.tree_digest(I.tiles(spark, sf))

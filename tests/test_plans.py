@@ -9,9 +9,6 @@ from tilewright.operators import tileset
 from tilewright.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
-#: These join tables of one row.
-ONE_ROW = {"territory_validate", "territory_mapping_report"}
-
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -21,7 +18,7 @@ def plan(df):
 def test_no_product(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text
-    assert name in ONE_ROW or "BroadcastNestedLoopJoin" not in text
+    assert "BroadcastNestedLoopJoin" not in text
 
 
 def test_columns_are_pruned(spark):

@@ -213,6 +213,16 @@ def overlap_warnings(members: DataFrame, cell: float = 1.0) -> DataFrame:
     return overlapping_pairs(boxes, cell).select(F.concat(F.col("a.key"), F.lit(" and "), F.col("b.key")).alias("warning")).distinct()
 
 
+def _side_by_side(parts: list[DataFrame]) -> DataFrame:
+    """Tables of one count each as the columns of one row, without a join."""
+    rows = [p.select(F.lit(c).alias("name"), F.col(c).alias("n")) for p in parts for c in p.columns]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    names = [c for p in parts for c in p.columns]
+    return out.agg(*(F.max(F.when(F.col("name") == c, F.col("n"))).alias(c) for c in names))
+
+
 def validate(features: DataFrame, key: str, mapping: DataFrame, mapping_key: str, group: str) -> DataFrame:
     """One row: the number of findings of each kind, and ok."""
     count = lambda df, name: df.agg(F.count("*").alias(name))
@@ -225,19 +235,16 @@ def validate(features: DataFrame, key: str, mapping: DataFrame, mapping_key: str
         count(warned, "repair_warnings"),
         count(overlap_warnings(usable(features, key)), "overlap_warnings"),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(F.broadcast(p))  # one row each
-    names = [c for p in parts for c in p.columns]
-    return out.withColumn("ok", sum((F.col(c) for c in names), F.lit(0)) == 0)
+    out = _side_by_side(parts)
+    return out.withColumn("ok", sum((F.col(c) for c in out.columns), F.lit(0)) == 0)
 
 
 def mapping_report(mapping: DataFrame, mapping_key: str = "postcode") -> DataFrame:
     """rows, columns, duplicate_keys and ok of a mapping alone."""
     columns = len([c for c in mapping.columns if c != "ord"])
     twice = duplicate_keys(mapping, mapping_key).agg(F.count("*").alias("duplicate_keys"))
-    out = mapping.agg(F.count("*").alias("rows"), F.lit(columns).cast("long").alias("columns"))
-    return out.join(F.broadcast(twice)).withColumn("ok", F.col("duplicate_keys") == 0)
+    out = _side_by_side([mapping.agg(F.count("*").alias("rows")), twice])
+    return out.select("rows", F.lit(columns).cast("long").alias("columns"), "duplicate_keys", (F.col("duplicate_keys") == 0).alias("ok"))
 
 
 def inspect(features: DataFrame) -> DataFrame:

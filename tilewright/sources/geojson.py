@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,18 +70,33 @@ def output_format(path: str, wanted: str = "") -> str:
     return kind
 
 
-def topojson(territories: DataFrame) -> str:
-    """One arc for each ring, none shared."""
+def write_topojson(territories: DataFrame, path: str) -> None:
+    """One document with an arc for each ring, none shared.  Territories and
+    arcs are streamed in order, so the driver holds one of them at a time."""
     from tilewright.operators.territory import topojson_arcs
 
-    arcs, shapes = [], {}
-    for r in topojson_arcs(territories.select("territory_id", G.rounded(F.col("geometry")).alias("geometry"))).orderBy("arc").toLocalIterator():
-        arcs.append([[p.lon, p.lat] for p in r.points])
-        polygons = shapes.setdefault(r.territory_id, [])
-        while len(polygons) <= r.polygon:
-            polygons.append([])
-        polygons[r.polygon].append([r.arc])
-    rest = [c for c in territories.columns if c != "geometry"]
-    props = {r.territory_id: r.asDict() for r in territories.select(*rest).toLocalIterator()}
-    geometries = [{"type": "MultiPolygon", "id": k, "properties": props[k], "arcs": v} for k, v in sorted(shapes.items())]
-    return json.dumps({"type": "Topology", "objects": {"territories": {"type": "GeometryCollection", "geometries": geometries}}, "arcs": arcs})
+    shapes = territories.select("territory_id", G.rounded(F.col("geometry")).alias("geometry"))
+    numbered = topojson_arcs(shapes).select("arc", "territory_id", "polygon", "ring", "points")
+    of = numbered.groupBy("territory_id", "polygon").agg(F.array_sort(F.collect_list(F.struct("ring", "arc"))).alias("r"))
+    of = of.groupBy("territory_id").agg(F.array_sort(F.collect_list(F.struct("polygon", F.transform("r", lambda x: F.array(x["arc"])).alias("arcs")))).alias("p"))
+    rest = sorted(c for c in territories.columns if c != "geometry")
+    props = territories.select("territory_id", F.to_json(F.struct(*rest)).alias("props"))
+    rows = props.join(of, "territory_id", "left").select("territory_id", "props", F.to_json(F.coalesce(F.transform("p", lambda x: x["arcs"]), F.array().cast("array<array<array<long>>>"))).alias("arcs"))
+    arcs = numbered.orderBy("arc").select(F.to_json(F.transform("points", lambda q: F.array(q["lon"], q["lat"]))).alias("points"))
+    with open(path, "w") as f:
+        f.write('{"type": "Topology", "objects": {"territories": {"type": "GeometryCollection", "geometries": [')
+        for i, r in enumerate(rows.orderBy("territory_id").toLocalIterator()):
+            f.write(("," if i else "") + f'{{"type": "MultiPolygon", "id": {json.dumps(r.territory_id)}, "properties": {r.props}, "arcs": {r.arcs}}}')
+        f.write(']}}, "arcs": [')
+        for i, r in enumerate(arcs.toLocalIterator()):
+            f.write(("," if i else "") + r.points)
+        f.write("]}\n")
+
+
+def topojson(territories: DataFrame) -> str:
+    """The same as text, for documents that fit the driver."""
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "t.topojson")
+        write_topojson(territories, path)
+        with open(path) as f:
+            return f.read()

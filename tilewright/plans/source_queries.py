@@ -369,12 +369,12 @@ def keys_intersect_except(spark: SparkSession, sf: str) -> DataFrame:
     return a.intersect(b).select(F.lit("both").alias("side"), "z", "x", "y").unionByName(a.exceptAll(b).select(F.lit("first").alias("side"), "z", "x", "y"))
 
 
-@query(f"""WITH {I.TAGGED}, {I.NODES}, {I.WAYS}, last AS (SELECT id AS node, arg_max(lon, input_idx) / 90 + 10 AS lon, arg_max(lat, input_idx) / 90 + 48 AS lat FROM nodes GROUP BY id),
+@query(f"""WITH {I.TAGGED}, {I.NODES}, {I.WAYS}, last AS (SELECT id AS node, arg_max(lon, input_idx) / 3600 + 10 AS lon, arg_max(lat, input_idx) / 3600 + 48 AS lat FROM nodes GROUP BY id),
 f AS (SELECT r.id, count(*) AS n, min(lon) AS a, max(lon) AS b, min(lat) AS c, max(lat) AS d FROM refs r JOIN last USING (node) JOIN tagged t ON t.id = r.id WHERE t.highway IN ('motorway', 'motorway_link') GROUP BY r.id HAVING count(*) >= 2),
-s AS (SELECT id, 9 AS z, {I.sql_x('a', '9')} AS x0, {I.sql_x('b', '9')} AS x1, {I.sql_y('d', '9')} AS y0, {I.sql_y('c', '9')} AS y1 FROM f)
+s AS (SELECT id, 13 AS z, {I.sql_x('a', '13')} AS x0, {I.sql_x('b', '13')} AS x1, {I.sql_y('d', '13')} AS y0, {I.sql_y('c', '13')} AS y1 FROM f)
 SELECT CAST(z AS INTEGER) AS z, x, unnest(range(y0, y1 + 1)) AS y, id FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM s)""")
 def osm_feature_fanout(spark: SparkSession, sf: str) -> DataFrame:
-    """Motorways of the derived map by tile of zoom 9: what a build groups."""
+    """Motorways of the derived map by tile of zoom 13: what a build groups."""
     n, w = _small_map(spark, sf)
     f = osm.features(w, osm.needed_nodes(n, osm.renderable(w))).filter(C("props")["class"] == "motorway")
-    return osm.fan_out(f, 9, 9).select("z", "x", "y", C("ord.id.id").alias("id"))
+    return osm.fan_out(f, 13, 13).select("z", "x", "y", C("ord.id.id").alias("id"))

@@ -147,12 +147,36 @@ def _route_points(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(C("user_id").alias("route_id"), pos.alias("pos"), ((C("event_id") * 7919) % 3600000 / 10000 - 180).alias("longitude"), ((C("event_id") * 104729) % 1700000 / 10000 - 85).alias("latitude"))
 
 
-@query()
+def _corridor_sql(zoom: int, radius: int, most: int) -> str:
+    """Steps along each segment the short way around, squares around each step,
+    every tile of a route once in order of travel."""
+    n = 1 << zoom
+    widen = ", ".join(str(d) for d in range(-radius, radius + 1))
+    return f"""WITH RECURSIVE p AS (SELECT user_id AS route_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, CAST((event_id * 7919) % 3600000 AS DOUBLE) / 10000 - 180 AS lon, CAST((event_id * 104729) % 1700000 AS DOUBLE) / 10000 - 85 AS lat FROM events),
+c AS (SELECT route_id, pos, {I.sql_x('lon', str(zoom))} AS x, {I.sql_y('lat', str(zoom), 85.0511287798066)} AS y FROM p),
+l AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, count(*) OVER (PARTITION BY route_id) AS points FROM c WINDOW w AS (PARTITION BY route_id ORDER BY pos)),
+s AS (SELECT route_id, pos, x, y, CASE WHEN abs(nx - x) > {n // 2} THEN nx + CASE WHEN nx > x THEN -{n} ELSE {n} END ELSE nx END AS tx, ny AS ty FROM l WHERE nx IS NOT NULL),
+walk AS (SELECT route_id, pos, 0 AS i, x, y, abs(tx - x) - abs(ty - y) AS lag, tx, ty, abs(tx - x) AS dx, abs(ty - y) AS dy, CASE WHEN tx > x THEN 1 ELSE -1 END AS sx, CASE WHEN ty > y THEN 1 ELSE -1 END AS sy FROM s
+ UNION ALL SELECT route_id, pos, i + 1, x + CASE WHEN 2 * lag >= -dy THEN sx ELSE 0 END, y + CASE WHEN 2 * lag <= dx THEN sy ELSE 0 END, lag - CASE WHEN 2 * lag >= -dy THEN dy ELSE 0 END + CASE WHEN 2 * lag <= dx THEN dx ELSE 0 END, tx, ty, dx, dy, sx, sy FROM walk WHERE x <> tx OR y <> ty),
+a AS (SELECT route_id, pos, i, (x % {n} + {n}) % {n} AS x, y FROM walk UNION ALL SELECT route_id, pos, 0, x, y FROM l WHERE points = 1),
+o AS (SELECT unnest([{widen}]) AS d), v AS (SELECT route_id, pos, i, o1.d AS dy, o2.d AS dx, x + o2.d AS x, y + o1.d AS y FROM a, o o1, o o2),
+f AS (SELECT route_id, x, {n - 1} - y AS y, min({{'p': pos, 'i': i, 'dy': dy, 'dx': dx}}) AS place FROM v WHERE x BETWEEN 0 AND {n - 1} AND y BETWEEN 0 AND {n - 1} GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY place) AS rank, count(*) OVER (PARTITION BY route_id) AS total FROM f),
+k AS (SELECT route_id, CAST(rank - 1 AS INTEGER) AS pos, {zoom} AS z, x, y, total > {most} AS truncated FROM r WHERE rank <= {most})"""
+
+
+@query(_corridor_sql(7, 1, 2000) + " SELECT * FROM k")
 def route_tiles(spark: SparkSession, sf: str) -> DataFrame:
     """Corridors of radius 1 at zoom 7 along routes."""
     return routes.route_tiles(_route_points(spark, sf), 7, radius=1, most=2000)
 
 
+@query(_corridor_sql(6, 0, 300) + " SELECT * FROM k")
+def route_line(spark: SparkSession, sf: str) -> DataFrame:
+    """The cells of routes at zoom 6 without a corridor, the first 300 of each."""
+    return routes.route_tiles(_route_points(spark, sf), 6, radius=0, most=300)
+
+
 _route_sql = f"""p AS (SELECT user_id AS route_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, CAST((event_id * 7919) % 3600000 AS DOUBLE) / 10000 - 180 AS lon, CAST((event_id * 104729) % 1700000 AS DOUBLE) / 10000 - 85 AS lat
  FROM events), cells AS (SELECT route_id, pos, {I.sql_x('lon', '5')} AS x, {I.sql_y('lat', '5', 85.0511287798066)} AS y FROM p)"""
 
@@ -300,7 +324,7 @@ def corpus_order(spark: SparkSession, sf: str) -> DataFrame:
     return stats.corpus_order(t, F.lit("7"))
 
 
-@query()
+@query(_corridor_sql(6, 1, routes.DEFAULT_BUDGET) + " SELECT DISTINCT z, x, y FROM k")
 def route_sync_request(spark: SparkSession, sf: str) -> DataFrame:
     """Tiles of all corridors at zoom 6, each once."""
     return routes.sync_request(_route_points(spark, sf), 6, radius=1)

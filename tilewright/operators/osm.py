@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -185,6 +186,18 @@ def fan_out(feats: DataFrame, min_zoom: int, max_zoom: int) -> DataFrame:
     return tiles_of(zoomed).drop("min_lon", "max_lon", "min_lat", "max_lat")
 
 
+def _changes(column: pa.Array) -> np.ndarray:
+    """Where a column's value differs from the one before; true at the first."""
+    parts = [column]
+    while any(pa.types.is_struct(p.type) for p in parts):
+        parts = [q for p in parts for q in (p.flatten() if pa.types.is_struct(p.type) else [p])]
+    out = np.ones(len(column), bool)
+    if len(column):
+        leaves = [p.to_numpy(zero_copy_only=False) for p in parts]
+        out[1:] = np.any([v[1:] != v[:-1] for v in leaves], axis=0)
+    return out
+
+
 def shaped(fanned: DataFrame, tolerance: float = 4.0) -> DataFrame:
     """(z, x, y, ord, layer, kind, props, geometry): each feature's commands in
     each of its tiles, simplified and clipped, where anything is left.  It runs
@@ -192,10 +205,13 @@ def shaped(fanned: DataFrame, tolerance: float = 4.0) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            z, x, y, kind, rings, multi = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("z", "x", "y", "kind", "rings", "multi"))
-            out = []
-            for zz, xx, yy, k, own, m in zip(z, x, y, kind, rings, multi):
-                points = [{"hole": r["hole"], "points": [(p["lon"], p["lat"]) for p in r["points"]]} for r in own]
+            z, x, y, kind, multi = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("z", "x", "y", "kind", "multi"))
+            rings, fresh = b.column(b.schema.get_field_index("rings")), _changes(b.column(b.schema.get_field_index("ord")))
+            out: list[bytes] = []
+            points: list[dict] = []
+            for i, (zz, xx, yy, k, m) in enumerate(zip(z, x, y, kind, multi)):
+                if fresh[i]:  # a feature's tiles follow each other
+                    points = [{"hole": r["hole"], "points": [(p["lon"], p["lat"]) for p in r["points"]]} for r in rings[i].as_py()]
                 out.append(K.tile_geometry({"kind": k, "multi": m, "rings": points}, zz, xx, yy, tolerance))
             keep = pa.array([bool(g) for g in out])
             columns = [b.column(b.schema.get_field_index(c)) for c in names[:-1]]

@@ -164,7 +164,7 @@ def probabilities(counts: DataFrame, to: str) -> DataFrame:
     both = orders[0]
     for x in orders[1:]:
         both = both.unionByName(x)
-    path = scratch(spark, "kn-orders")
+    path, half = scratch(spark, "kn-orders"), scratch(spark, "kn-half")
     stored = saved(both, path)
     of = {r.m: discounts(r.n1, r.n2, r.n3, r.n4) for r in stored.groupBy("m").agg(*(F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4))).collect()}
     p = None
@@ -182,8 +182,10 @@ def probabilities(counts: DataFrame, to: str) -> DataFrame:
             asked = asked.withColumn("suffix", F.col("gram").bitwiseAND(_mask(m - 1))).join(p.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
         value = F.when(F.col("total").isNull(), F.col("lower")).otherwise((F.coalesce(F.col("c") - F.col("off"), F.lit(0.0)) + F.col("freed") * F.col("lower")) / F.col("total"))
         p = asked.withColumn("p", value)
+        if m == ORDER // 2:  # the plan of all orders at once is large for the driver
+            p = saved(p.select("gram", "p"), half)
     out = saved(p.select("gram", (-F.log("p")).alias("nll"), "n_all"), to)
-    drop_path(spark, path)
+    drop_path(spark, path, half)
     return out
 
 

@@ -18,3 +18,13 @@ def test_area_far_from_the_origin(spark):
     own = G.area_km2(F.array(F.array(square(F.lit(39), y))))
     wide = F.cos((5 * y + 2) / F.lit(5.0) * F.pi() / 180) * G.KM_PER_DEGREE * G.KM_PER_DEGREE
     assert spark.range(2000).filter(F.round(own, 4) != F.round(wide, 4)).count() == 0
+
+
+def test_holes_at_one_place_in_equal_exteriors(spark):
+    n = 20_000
+    ext = spark.range(n).select((F.col("id") + 5).alias("exterior_id"), square(F.lit(0), F.lit(0)).alias("ring"))
+    wide = spark.range(1).select(F.lit(1).cast("long").alias("exterior_id"), square(F.lit(-1), F.lit(-1), 3.0).alias("ring"))
+    holes = spark.range(n).select(F.col("id").alias("hole_id"), square(F.lit(0.5), F.lit(0.5), 0.1).alias("ring"))
+    start = time.time()
+    got = spatial.nest_holes(ext.union(wide), holes, 1.0).groupBy("exterior_id").count().collect()
+    assert [tuple(r) for r in got] == [(5, n)] and time.time() - start < 60

@@ -28,3 +28,15 @@ def test_holes_at_one_place_in_equal_exteriors(spark):
     start = time.time()
     got = spatial.nest_holes(ext.union(wide), holes, 1.0).groupBy("exterior_id").count().collect()
     assert [tuple(r) for r in got] == [(5, n)] and time.time() - start < 60
+
+
+def test_equal_boxes_are_compared_once(spark):
+    n = 100_000
+    at = (F.col("id") % 2).cast("double")
+    empty = spark.range(2 * n).select("id", at.alias("min_x"), at.alias("max_x"), at.alias("min_y"), at.alias("max_y"))
+    start = time.time()
+    assert spatial.overlapping_pairs(empty, 4.0).count() == 0 and time.time() - start < 60
+    box = spark.createDataFrame([(3, 0.0, 1.0), (1, 0.0, 1.0), (2, 0.5, 2.0), (4, 1.0, 1.0)], "id long, low double, high double")
+    box = box.select("id", *(F.col(c).alias(f"{n}_{a}") for a in "xy" for n, c in (("min", "low"), ("max", "high"))))
+    assert sorted(map(tuple, spatial.overlapping_pairs(box, 4.0).collect())) == [(1, 2), (1, 3), (2, 3), (2, 4)]
+    assert len(spatial.overlapping_pairs(box, 4.0, touching=True).collect()) == 6

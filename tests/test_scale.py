@@ -2,10 +2,14 @@
 
 import time
 
+import pytest
+
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tilewright.functions import geometry as G
 from tilewright.operators import spatial
+from tilewright.sources import mbtiles, pmtiles, register
 
 
 def square(x, y, w=1.0):
@@ -40,3 +44,43 @@ def test_equal_boxes_are_compared_once(spark):
     box = box.select("id", *(F.col(c).alias(f"{n}_{a}") for a in "xy" for n, c in (("min", "low"), ("max", "high"))))
     assert sorted(map(tuple, spatial.overlapping_pairs(box, 4.0).collect())) == [(1, 2), (1, 3), (2, 3), (2, 4)]
     assert len(spatial.overlapping_pairs(box, 4.0, touching=True).collect()) == 6
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["pmtiles_read", "pmtiles_inspect", "pmtiles_metadata", "import_published", "mbtiles_flat_read", "mbtiles_normalized_read", "mbtiles_pushdown", "mbtiles_metadata", "tilestream_read", "osmpbf_nodes", "osmpbf_ways", "osmpbf_relations"])
+def test_no_rows_through_the_driver(spark, monkeypatch, name):
+    def refused(*_, **__):
+        raise AssertionError("rows are sent to the driver")
+
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", refused)
+    assert entry.queries()[name](spark, SF).count() > 0
+
+
+def test_archive_by_executors(spark, tmp_path):
+    p = str(tmp_path / "a.pmtiles")
+    n = 20_000
+    tiles = spark.range(n).select((F.col("id") * F.col("id") + 4**9).alias("number"), F.concat(F.lit("t"), (F.col("id") % 7).cast("string")).cast("binary").alias("data"))
+    pmtiles.write_tiles(tiles, p, {"name": "n"}, leaf_entries=4)
+    assert pmtiles.inspect(p) == {"tiles": n, "bytes": 2 * n, "largest": 2} and pmtiles.metadata_rows(p)["name"] == "n"
+    register(spark)
+    got = spark.read.format("pmtiles").load(p).select(F.col("tile_id").alias("number"), "data")
+    assert got.exceptAll(tiles).isEmpty() and tiles.exceptAll(got).isEmpty()
+    with pytest.raises(Exception, match="stands twice"):
+        pmtiles.write_tiles(tiles.union(tiles), str(tmp_path / "b.pmtiles"))
+
+
+def test_set_of_files(spark, tmp_path):
+    rows = spark.range(0, 100, 1, 5).select(F.lit(9).alias("z"), F.col("id").alias("x"), F.col("id").alias("y"), F.lit(b"same").alias("data"))
+    register(spark)
+    for normalized in (True, False):
+        p = str(tmp_path / f"s{normalized}")
+        mbtiles.write_set(rows, p, {"a": "b"}, normalized)
+        assert len(mbtiles.files(p)) == 5 and mbtiles.metadata(p) == {"a": "b"}
+        assert mbtiles.layout(p) == ("normalized" if normalized else "flat")
+        assert spark.read.format("mbtiles").load(p).exceptAll(rows).isEmpty()
+        assert spark.read.format("mbtiles").load(p).count() == 100
+        assert spark.read.format("mbtiles").option("table", "metadata").load(p).count() == 1
+    mbtiles.write_set(rows.limit(0), str(tmp_path / "none"), {"a": "b"})
+    assert spark.read.format("mbtiles").load(str(tmp_path / "none")).count() == 0

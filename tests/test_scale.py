@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tilewright.functions import geometry as G
-from tilewright.operators import spatial
+from tilewright.operators import routes, spatial
 from tilewright.sources import mbtiles, pmtiles, register
 
 
@@ -84,3 +84,19 @@ def test_set_of_files(spark, tmp_path):
         assert spark.read.format("mbtiles").option("table", "metadata").load(p).count() == 1
     mbtiles.write_set(rows.limit(0), str(tmp_path / "none"), {"a": "b"})
     assert spark.read.format("mbtiles").load(str(tmp_path / "none")).count() == 0
+
+
+def test_routes_are_streamed(spark, monkeypatch):
+    """A route's points reach Python one after another, not as one row's array."""
+    points = spark.range(30_000).select((F.col("id") % 2).alias("route_id"), F.col("id").alias("pos"), ((F.col("id") * 7919) % 360 - 180).cast("double").alias("longitude"), ((F.col("id") * 31) % 170 - 85).cast("double").alias("latitude"))
+    df = routes.route_tiles(points, 5, 1, 40)
+    assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = df.groupBy("route_id").agg(F.count("*"), F.max("pos"), F.min("truncated")).collect()
+    assert sorted(map(tuple, got)) == [(0, 40, 39, True), (1, 40, 39, True)]
+
+
+def test_tiles_and_areas_are_streamed(spark):
+    for name, word in (("mvt_encode", "collect_list(struct(ord"), ("postal_areas", "FlatMapGroupsInPandas")):
+        assert word not in entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    text = entry.queries()["postal_areas"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in text

@@ -7,11 +7,12 @@ inputs, the last one counts.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,8 +114,8 @@ def way_lines(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """Ways with ``points``: their nodes' places in order, unknown nodes left out."""
     each = ways.select("id", F.posexplode("node_ids").alias("pos", "node"))
     n = nodes.select(F.col("id").alias("node"), F.struct("lon", "lat").alias("p"))
-    lines = each.join(n, "node").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "p"))).alias("s"))
-    return ways.join(lines.select("id", F.transform("s", lambda x: x["p"]).alias("points")), "id")
+    lines = each.join(n.hint("merge"), "node").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "p"))).alias("s"))
+    return ways.join(lines.select("id", F.transform("s", lambda x: x["p"]).alias("points")).hint("merge"), "id")
 
 
 def features(ways: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -143,31 +144,40 @@ def postal_features(relations: DataFrame, ways: DataFrame, nodes: DataFrame) ->
     own = last_wins(relations).withColumn("code", code).filter((F.col("tags")["boundary"] == "postal_code") & (F.col("code") != ""))
     member = own.select(F.col("id").alias("rel"), "code", F.col("tags")["name"].alias("name"), F.posexplode("members").alias("pos", "m")).filter("m.type = 1")
     w = last_wins(ways.select("input_idx", "id", "node_ids")).filter(F.size("node_ids") >= 2)
-    joined = member.select("rel", "code", "name", "pos", F.col("m.role").alias("role"), F.col("m.ref").alias("id")).join(w, "id")
+    # Exploded tables are far larger than what their estimates come from: they are merged, never broadcast.
+    joined = member.select("rel", "code", "name", "pos", F.col("m.role").alias("role"), F.col("m.ref").alias("id")).join(w.hint("merge"), "id")
     points = way_lines(joined.select(F.struct("rel", "pos").alias("id"), "node_ids"), last_wins(nodes.drop("tags")))
-    known = joined.withColumn("key", F.struct("rel", "pos")).join(points.select(F.col("id").alias("key"), "points"), "key")
+    known = joined.withColumn("key", F.struct("rel", "pos")).join(points.select(F.col("id").alias("key"), "points").hint("merge"), "key")
 
-    def assemble(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
+    def assembled(members: list[dict]) -> list[dict]:
         place: dict[int, tuple] = {}
-        for ids, pts in zip(rows["node_ids"], rows["points"]):
-            if len(ids) == len(pts):
-                place.update(zip(ids, ((p["lon"], p["lat"]) for p in pts)))
+        for m in members:
+            if len(m["node_ids"]) == len(m["points"]):
+                place.update(zip(m["node_ids"], ((p["lon"], p["lat"]) for p in m["points"])))
         rings = []
         for hole in (False, True):
-            some = [list(i) for i, r in zip(rows["node_ids"], rows["role"]) if (r == "inner") == hole]
+            some = [m["node_ids"] for m in members if (m["role"] == "inner") == hole]
             for ids in K.join_ways(some):
                 ring = [place[i] for i in ids if i in place]
                 if len(ring) >= 4 and ring[0] == ring[-1]:
                     if (K._area2(ring) > 0) == hole:
                         ring = ring[::-1]
                     rings.append({"hole": hole, "points": [{"lon": x, "lat": y} for x, y in ring]})
-        if not any(not r["hole"] for r in rings):
-            return pd.DataFrame({"rel": [], "code": [], "name": [], "rings": []})
-        return pd.DataFrame({"rel": [key[0]], "code": [rows["code"].iloc[0]], "name": [rows["name"].iloc[0]], "rings": [rings]})
+        return rings if any(not r["hole"] for r in rings) else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("hole", pa.bool_()), ("points", pa.list_(pa.struct([("lon", pa.float64()), ("lat", pa.float64())])))]))
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                rings = pa.array([assembled(m.as_py()) for m in part.column(3)], kind)
+                out = pa.RecordBatch.from_arrays([*part.columns[:3], rings], names=["rel", "code", "name", "rings"])
+                yield out.filter(pc.greater(pc.list_value_length(rings), 0))
 
     schema = f"rel long, code string, name string, rings array<struct<hole:boolean,points:array<{POINT}>>>"
-    out = known.select("rel", "code", "name", "pos", "role", "node_ids", "points").groupBy("rel").applyInPandas(assemble, schema)
+    member = F.struct("pos", "role", "node_ids", "points")
+    by = known.groupBy("rel").agg(F.first("code").alias("code"), F.first("name").alias("name"), F.array_sort(F.collect_list(member)).alias("members"))
+    out = by.select(F.col("rel").cast("long").alias("rel"), "code", "name", "members").mapInArrow(run, schema)
     name = trimmed(F.coalesce("name", F.lit("")))
     props = F.when(name == "", F.create_map(F.lit("postcode"), F.col("code"))).otherwise(F.create_map(F.lit("postcode"), F.col("code"), F.lit("name"), name))
     return out.select(
@@ -226,19 +236,23 @@ def shaped(fanned: DataFrame, tolerance: float = 4.0) -> DataFrame:
 
 
 def encode(fanned: DataFrame, tolerance: float = 4.0, gzip: bool = True) -> DataFrame:
-    """Vector tiles (z, x, y, data), TMS rows, empty ones left out.  A tile's
-    task holds the clipped commands of its features, no outlines."""
+    """Vector tiles (z, x, y, data), TMS rows, empty ones left out.  A task takes
+    the clipped commands of its tiles from a sorted stream and holds one tile's
+    bytes, no outlines and no features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            z, x, y, feats = (b.column(i).to_pylist() for i in range(4))
-            tiles = [K.tile_of([(f["layer"], f["kind"], [(p["key"], p["value"]) for p in f["props"]], f["geometry"]) for f in own]) for own in feats]
-            data = [K.compressed(t) if gzip else t for t in tiles]
-            rows = [(1 << zz) - 1 - yy for zz, yy in zip(z, y)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.int64()), pa.array(data, pa.binary())], names=["z", "x", "y", "data"])
-
-    by = shaped(fanned, tolerance).groupBy("z", "x", "y").agg(F.array_sort(F.collect_list(F.struct("ord", "layer", "kind", "props", "geometry"))).alias("f"))
-    return by.mapInArrow(run, "z int, x long, y long, data binary")
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for i in range(0, b.num_rows, 1024):
+                    yield from zip(*(c.to_pylist() for c in b.slice(i, 1024).columns))
+
+        for (z, x, y), own in itertools.groupby(rows(), lambda r: r[:3]):
+            tile = K.tile_of((r[3], r[4], [(p["key"], p["value"]) for p in r[5]], r[6]) for r in own)
+            data = K.compressed(tile) if gzip else tile
+            yield pa.RecordBatch.from_arrays([pa.array([z], pa.int32()), pa.array([x], pa.int64()), pa.array([(1 << z) - 1 - y], pa.int64()), pa.array([data], pa.binary())], names=["z", "x", "y", "data"])
+
+    by = shaped(fanned, tolerance).repartition("z", "x", "y").sortWithinPartitions("z", "x", "y", "ord", "layer", "kind", "props", "geometry")
+    return by.select("z", "x", "y", "layer", "kind", "props", "geometry").mapInArrow(run, "z int, x long, y long, data binary")
 
 
 def build_osm(nodes: DataFrame, ways: DataFrame, relations: DataFrame | None = None, min_zoom: int = 5, max_zoom: int = 14, tolerance: float = 4.0) -> tuple[DataFrame, DataFrame]:

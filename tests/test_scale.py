@@ -49,7 +49,7 @@ def test_equal_boxes_are_compared_once(spark):
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["pmtiles_read", "pmtiles_inspect", "pmtiles_metadata", "import_published", "mbtiles_flat_read", "mbtiles_normalized_read", "mbtiles_pushdown", "mbtiles_metadata", "tilestream_read", "osmpbf_nodes", "osmpbf_ways", "osmpbf_relations"])
+@pytest.mark.parametrize("name", ["pmtiles_read", "pmtiles_inspect", "pmtiles_metadata", "import_published", "mbtiles_flat_read", "mbtiles_normalized_read", "mbtiles_pushdown", "mbtiles_metadata", "tilestream_read", "osmpbf_nodes", "osmpbf_ways", "osmpbf_relations", "geojson_read"])
 def test_no_rows_through_the_driver(spark, monkeypatch, name):
     def refused(*_, **__):
         raise AssertionError("rows are sent to the driver")

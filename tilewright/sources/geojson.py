@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import geometry as G
 from tilewright.functions.text import trimmed
+from tilewright.sources.parts import joined
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
@@ -37,13 +39,17 @@ def feature_lines(df: DataFrame, geometry: str = "geometry") -> DataFrame:
 
 
 def write_features(df: DataFrame, path: str, order: str, geometry: str = "geometry") -> None:
-    """One document; its size is that of the result, which one file must hold."""
-    rows = feature_lines(df.orderBy(order), geometry).toLocalIterator()
-    with open(path, "w") as f:
-        f.write('{"type": "FeatureCollection", "features": [')
-        for i, r in enumerate(rows):
-            f.write((",\n" if i else "\n") + r.value)
-        f.write("\n]}\n")
+    """One document, in order, written by the executors part by part."""
+
+    def encode(batches: Iterator) -> Iterator[bytes]:
+        first = True
+        for b in batches:
+            for v in b.column(0).to_pylist():
+                yield (b"" if first else b",\n") + v.encode()
+                first = False
+
+    head = b'{"type": "FeatureCollection", "features": [\n'
+    joined(feature_lines(df.orderBy(order), geometry), path, encode, head, b",\n", b"\n]}\n")
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:

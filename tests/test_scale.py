@@ -1,5 +1,8 @@
 """Work that must not grow faster than its input, and results far from the origin."""
 
+import hashlib
+import random
+import struct
 import time
 
 import pytest
@@ -7,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tilewright.functions import digests
 from tilewright.functions import geometry as G
-from tilewright.operators import routes, spatial
+from tilewright.operators import routes, spatial, tileset
 from tilewright.sources import mbtiles, pmtiles, register
 
 
@@ -100,3 +104,38 @@ def test_tiles_and_areas_are_streamed(spark):
         assert word not in entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     text = entry.queries()["postal_areas"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in text
+
+
+def test_digest_part_by_part(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(z, x, y, r.randbytes(r.choice([0, 3, 64, 200, 1500]))) for z in (2, 9) for x in range(12) for y in range(4 if z == 2 else 12)]
+    rows[7] = (*rows[7][:3], r.randbytes(9000))  # larger than a part
+    h = hashlib.sha256()
+    for z, x, y, data in rows:
+        h.update(struct.pack(">4Q", z, x, y, len(data)) + data)
+    tiles = spark.createDataFrame(r.sample(rows, len(rows)), "z int, x long, y long, data binary").repartition(3)
+    assert tuple(tileset.tile_digest(tiles).first()) == (len(rows), h.hexdigest())
+    counts, plain = [], tileset._hashed
+
+    def seen(part, *args, **options):
+        counts.append(part.agg(F.count("*"), F.sum(F.octet_length("data") + 32), F.max(F.octet_length("data") + 32)).first())
+        return plain(part, *args, **options)
+
+    monkeypatch.setattr(tileset, "_hashed", seen)
+    monkeypatch.setattr(tileset, "PART_BYTES", 4096)
+    assert tuple(tileset.tile_digest(tiles).first()) == (len(rows), h.hexdigest())
+    assert sum(n for n, _, _ in counts) == len(rows) and all(size - largest <= 4096 for _, size, largest in counts)
+    monkeypatch.setattr(tileset, "_chained", lambda _: None)  # no worker can take up a hash
+    assert tuple(tileset.tile_digest(tiles).first()) == (len(rows), h.hexdigest())
+
+
+def test_hash_taken_up():
+    assert digests.resumable()
+    r = random.Random(3)
+    for cuts in ([], [0], [1, 55, 56, 63, 64, 65], [64, 128, 1000]):
+        data, h, at = r.randbytes(1200), digests.Sha256(), 0
+        for cut in [*cuts, 1200]:
+            h = digests.Sha256(h.state())
+            h.update(data[at:cut])
+            at = cut
+            assert h.hexdigest() == hashlib.sha256(data[:cut]).hexdigest()

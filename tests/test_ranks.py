@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.operators import stats, tileset
+from tilewright import shared
+from tilewright.operators import ranks, stats, tileset
 from tilewright.operators.ranks import cumulated, ranked
 
 
@@ -41,6 +42,27 @@ def test_signatures_that_collide(spark):
         assert len(got) == 12 and all((got[k] or b"") == (v or b"") and (got[k] is None) == (v is None) for k, v in want.items())
 
 
+def test_payloads_are_not_numbered(spark, monkeypatch):
+    stored = []
+    for module in (ranks, tileset):
+        plain = shared.saved
+        monkeypatch.setattr(module, "saved", lambda df, *a, **k: stored.append(df.columns) or plain(df, *a, **k), raising=False)
+    rows = [(2, x, 3 - x, None if x == 2 else b"ab"[x % 2 : x % 2 + 1] * 5) for x in range(4)] + [(2, None, 1, b"c"), (2, None, 2, b""), (1, 0, 0, b"bbbbb")]
+    tiles = spark.createDataFrame(rows, "z int, x long, y long, data binary")
+    images, keyed = tileset.content_ids(tiles)
+    data = {r.tile_id: r.data if r.data is None else bytes(r.data) for r in images.collect()}
+    assert data == {"0": b"bbbbb", "1": b"c", "2": b"", "3": b"aaaaa", "4": None}
+    assert sorted(((r.z, r.x, r.y, data[r.tile_id]) for r in keyed.collect()), key=str) == sorted(rows, key=str)
+    assert stored and all("data" not in columns for columns in stored)
+
+
+def test_repeated_places(spark):
+    rows = [(1, 0, 0, b"a"), (1, 0, 0, b"a"), (1, 0, 0, b"b"), (1, 1, 0, b"b"), (1, 1, 1, b"a"), (1, 1, 1, b"a")]
+    images, keyed = tileset.content_ids(spark.createDataFrame(rows, "z int, x long, y long, data binary"))
+    assert sorted(bytes(r.data) for r in images.collect()) == [b"a", b"b"]
+    assert sorted((r.z, r.x, r.y, bytes(r.data)) for r in tileset.flat(keyed, images).collect()) == sorted(rows)
+
+
 @pytest.mark.parametrize("groups", [1, 5])
 def test_ranks(spark, groups):
     r = random.Random(groups)
